@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = []
+MODULES = ["lexweave.operators.rejects", "lexweave.operators.skew"]
 
 
 def _all(what: str) -> dict:
