@@ -43,7 +43,7 @@ def fragments(df: DataFrame, key: str, spread: list[str], tasks: int) -> tuple[D
     rows = df.filter(F.col(key).isNotNull())
     loads = rows.groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    heavy = [(r.k, r.n) for r in loads.filter(F.col("n") > F.lit(SPLIT_AT * total / tasks)).collect()]
+    heavy = [(r.k, r.n) for r in loads.filter(F.col("n") > F.lit(SPLIT_AT * total / tasks)).collect()]  # at most tasks / SPLIT_AT
     plan = spark.createDataFrame(plan_of(heavy, total, tasks), "_key string, _shards int, _shard int, _task int")
     sizes = plan.select("_key", "_shards").distinct()
     cut = (
@@ -75,7 +75,7 @@ def per_key(df: DataFrame, key: str, record: str, tasks: int | None = None) -> D
     spark = df.sparkSession
     tasks = tasks or tasks_of(spark)
     cut, _, _ = fragments(df.select(key, record), key, [record], tasks)
-    rows = cut.groupBy("_task", key, "_shard", record).agg(F.count(F.lit(1)).alias("_n"))
+    rows = cut.repartitionById(tasks, "_task").groupBy("_task", key, "_shard", record).agg(F.count(F.lit(1)).alias("_n"))
     shard = rows.groupBy("_task", key, "_shard").agg(F.sum("_n").alias("_rows"), F.count(record).alias("_records"))
     return shard.groupBy(key).agg(
         F.sum("_rows").alias("n_rows"), F.sum("_records").alias("n_records"), F.count(F.lit(1)).alias("n_shards"), F.countDistinct("_task").alias("n_tasks")
@@ -99,7 +99,7 @@ def fragment_join(big: DataFrame, small: DataFrame, key: str, spread: list[str],
         .withColumn("_task", F.coalesce("_task", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(tasks)).cast("int")))
         .drop("_key", "_shards")
     )
-    return cut.join(side.hint("shuffle_hash"), ["_task", key, "_shard"]).drop("_task", "_shard")
+    return cut.repartitionById(tasks, "_task").join(side.repartitionById(tasks, "_task"), ["_task", key, "_shard"]).drop("_task", "_shard")
 
 
 def headings(df: DataFrame) -> DataFrame:
