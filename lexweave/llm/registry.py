@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["frequency"]
+MODULES = ["frequency", "overlap", "topn"]
 
 
 def _all(what: str) -> dict:
