@@ -16,7 +16,8 @@ def current_rows(df: DataFrame, key: str, order: str, cols: list[str], limit: in
     versions are shuffled. This takes the set of those keys, which is broadcast if it has at most `limit` rows and
     else left out, so that all rows are shuffled. An empty table gives an empty result.
     """
-    rows = df.filter(F.col(key).isNotNull()).select(key, order, *[c for c in cols if c not in (key, order)])
+    cols = [c for c in cols if c != key]
+    rows = df.filter(F.col(key).isNotNull()).select(key, order, *[c for c in cols if c != order])
     several = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
 
     def latest(part: DataFrame) -> DataFrame:
