@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["frequency", "overlap", "topn"]
+MODULES = ["frequency", "overlap", "distinctive", "topn"]
 
 
 def _all(what: str) -> dict:
