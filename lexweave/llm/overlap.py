@@ -51,19 +51,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _subsets(threshold: Fraction, least: int):
-    """(key, c, n, id) for every subset of c values of each set, for each overlap c that the set may need."""
+def _subsets(threshold: Fraction, least: int, larger: bool, name: str):
+    """(key, id) for the threshold-sized subsets of each set.
 
+    A set of n values is the smaller of a pair, or the larger (or either, of two of one size). The key holds a subset of c
+    values, c itself and the smaller size a; the larger set lists it for every a that it may meet, the smaller for every c
+    that it may need. So the pairs that agree in a key are those that share c(a, b) values.
+    """
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def masks(n: int) -> tuple[np.ndarray, np.ndarray]:
         if n in known:
             return known[n]
-        picks = [(c, p) for c in overlaps_for(n, threshold, least) for p in combinations(range(n), c)]
+        sizes = sizes_for(n, threshold, least)
+        wanted = {(needed(n, b, threshold), min(n, b)) for b in sizes if (b <= n if larger else b >= n)}
+        picks = [(c, a, p) for c, a in sorted(wanted) if c <= a for p in combinations(range(n), c)]
         mask = np.zeros((n, len(picks)), np.uint64)
-        for k, (_, p) in enumerate(picks):
+        for k, (_, _, p) in enumerate(picks):
             mask[list(p), k] = 1
-        known[n] = mask, np.array([c for c, _ in picks], np.int32)
+        known[n] = mask, np.array([c * 65536 + a for c, a, _ in picks], np.uint64)
         return known[n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,20 +80,17 @@ def _subsets(threshold: Fraction, least: int):
             flat = _mixed(values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             starts = np.cumsum(sizes) - sizes
             for n in np.unique(sizes).tolist():
-                mask, c = masks(n)
+                mask, tag = masks(n)
                 rows = np.flatnonzero(sizes == n)
-                step = max(1, 200_000 // len(c))
+                step = max(1, 200_000 // max(1, len(tag)))
                 for k in range(0, len(rows), step):
                     part = rows[k : k + step]
                     hashes = flat[starts[part][:, None] + np.arange(n)]
-                    keys = np.zeros((len(part), len(c)), np.uint64)
+                    keys = np.zeros((len(part), len(tag)), np.uint64)
                     for j in range(n):
                         keys += hashes[:, j : j + 1] * mask[j]
-                    keys = _mixed(keys + c.astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel()), pa.array(np.tile(c, len(part))), pa.array(np.full(keys.size, n, np.int32)), pa.array(np.repeat(ids[part], len(c)))],
-                        names=["key", "c", "n", "id"],
-                    )
+                    keys = _mixed(keys + _mixed(tag)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[part], len(tag)))], names=["key", name])
 
     return run
 
@@ -110,19 +113,18 @@ def overlap_join(sets: DataFrame, threshold: Fraction, least: int, max_subsets:
     """(a, b, similarity): the pairs of classes, a < b, whose Jaccard similarity is at least the threshold.
 
     Two sets of sizes x and y reach the threshold if they share c(x, y) values. Small sets, those with at most
-    `max_subsets` subsets of the sizes they may need, list these subsets; two small sets that list the same subset of
-    size c(x, y) are a result, so that no pair is tried in vain, however common the values are. Large sets scan the
+    `max_subsets` subsets of the sizes they may need, list these subsets by c and the smaller size; two that list the same
+    are a result, so that no pair is tried in vain, however common the values are. Large sets scan the
     inverted lists of their rarest n - c + 1 values, among which a partner must have one. All pairs found are compared
     in full at the end.
     """
     sets = staged(sets.select(F.col("class").alias("id"), "values", "n"), "distinct")
     top = largest_small(threshold, least, max_subsets)
     small = sets.filter(F.col("n") <= top)
-    keys = small.select("id", "values").mapInArrow(_subsets(threshold, least), "key long, c int, n int, id long")
+    lists = lambda larger, name: small.select("id", "values").mapInArrow(_subsets(threshold, least, larger, name), f"key long, {name} long")
     p, q = threshold.numerator, threshold.denominator
-    a, b = keys.select("key", "c", F.col("n").alias("na"), F.col("id").alias("a")), keys.select("key", F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("id").alias("b"))
-    right = F.ceil((F.col("na") + F.col("nb")) * p / F.lit(p + q))
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("c") == F.col("cb")) & (F.col("c") == right)).select("a", "b")
+    met = lists(False, "x").join(lists(True, "y"), "key").filter("x <> y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     if not sets.filter(F.col("n") > top).isEmpty():
         pairs = pairs.unionByName(_by_lists(sets, top, threshold, least))
     pairs = pairs.distinct()
