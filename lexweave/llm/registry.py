@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["frequency", "markup", "overlap", "distinctive", "topn", "truncated"]
+MODULES = ["frequency", "markup", "overlap", "distinctive", "topn", "packing", "mixing", "truncated"]
 
 
 def _all(what: str) -> dict:
