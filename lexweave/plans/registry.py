@@ -2,13 +2,14 @@
 
 from importlib import import_module
 
-MODULES = ["lexweave.operators.rejects", "lexweave.operators.skew"]
+MODULES = ["lexweave.plans.matrix", "lexweave.operators.rejects", "lexweave.operators.skew"]
 
 
 def _all(what: str) -> dict:
     out: dict = {}
     for name in MODULES:
-        out |= getattr(import_module(name), what)
+        own = getattr(import_module(name), what)
+        out |= own() if callable(own) else own
     return out
 
 
