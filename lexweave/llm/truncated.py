@@ -28,8 +28,9 @@ NOTICE_WORDS = "truncated cut abridged shortened clipped continued more gekürzt
 ABBREVIATIONS = "e.g.|i.e.|cf.|vs.|viz.|fig.|figs.|eq.|eqs.|nos.|approx.|ca.|dr.|prof.|mr.|mrs.|incl.|z.b.|z. b.|d.h.|d. h.|u.a.|u. a.|bzw.|vgl.|abb.|nr.|sog.|ggf.|p.ex.|p. ex.|par ex.|env.|p.ej.|p. ej.|núm."
 
 NOTICE = re.compile(rf"[\[({{<]\s*(?:\.{{2,}}|…|[^\[\](){{}}<>]*\b(?:{'|'.join(NOTICE_WORDS.split())})\b[^\[\](){{}}<>]*)\s*[\])}}>]\s*$|(?:\.{{3,}}|…)\s*$", re.I)
-TAIL = re.compile(r"(?:\s|�|</?[A-Za-z][^<>]*>)+$")
-OPEN_TAG = re.compile(r"<(?:[A-Za-z/!][^<>]*)?$")
+WHOLE_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+FIRST_TAG = re.compile(r"\A\s*<[A-Za-z][^<>]*>")
+OPEN_TAG = re.compile(r"<(?:[A-Za-z/!][^<>]*)?")
 REFERENCE = re.compile(r"\s*(?:\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]|\(\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\))$")
 CLOSED = re.compile(r"[.!?。？！](?:[\"'”“’)\]}]|\s?[»])*$|[.!?](?:\s)?[»]$|\s[?!]$")
 ABBREVIATED = re.compile(r"(?:^|[\s(\[,;])(?:" + "|".join(map(re.escape, ABBREVIATIONS.split("|"))) + ")$", re.I)
@@ -68,18 +69,29 @@ def encoded(text: str) -> np.ndarray:
     return ALPHABET[np.minimum(points, _FIRST - 1)]
 
 
+def bare(text: str) -> str:
+    """The text without white space, damaged characters and whole tags at its end."""
+    while True:
+        text = text.rstrip()
+        if text.endswith("\ufffd"):
+            text = text[:-1]
+        elif text.endswith(">") and (at := text.rfind("<")) >= 0 and WHOLE_TAG.fullmatch(text, at):
+            text = text[:at]
+        else:
+            return text
+
+
 def core(text: str) -> str:
     """The text without what may follow a cut or an end: white space, damaged characters, whole tags, half a tag."""
-    text = TAIL.sub("", text)
-    if "<" in text[-200:] and (m := OPEN_TAG.search(text)):
-        text = TAIL.sub("", text[: m.start()])
+    text = bare(text)
+    if (at := text.rfind("<")) > text.rfind(">") and OPEN_TAG.fullmatch(text, at):
+        text = bare(text[:at])
     return text
 
 
 def parts(text: str) -> list[tuple[str, str]]:
     """(column, text) of the parts of a text, the last of which holds its end: title, body, and a trailing line."""
-    text = core(text)
-    text = TAIL.sub("", re.sub(r"^\s*<[A-Za-z][^<>]*>", "", text))
+    text = FIRST_TAG.sub("", core(text))
     head, mark, rest = text.partition("\n")
     rest = rest.strip()
     out: list[tuple[str, str]] = []
@@ -100,8 +112,8 @@ def parts(text: str) -> list[tuple[str, str]]:
 
 def marked(text: str) -> bool:
     """Whether a text ends with a notice or sign of having been cut."""
-    at = TAIL.sub("", text)
-    return bool(NOTICE.search(at[-200:]) or OPEN_TAG.search(at[-200:]) and at[-1:] != ">")
+    end = bare(text)
+    return bool(NOTICE.search(end[-200:]) or (at := end.rfind("<")) > end.rfind(">") and OPEN_TAG.fullmatch(end, at))
 
 
 def closed(text: str) -> bool:
