@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lexweave.plans.matrix", "lexweave.operators.rejects", "lexweave.operators.skew"]
+MODULES = ["lexweave.plans.matrix", "lexweave.plans.headings", "lexweave.operators.rejects", "lexweave.operators.skew"]
 
 
 def _all(what: str) -> dict:
