@@ -105,9 +105,9 @@ def strip_balanced(word: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of n words joined by spaces; none if there are fewer."""
+    """Runs of n words joined by spaces; none if there are fewer, null for null."""
     last = F.size(words) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(words.isNull(), None).when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def yes_no(flag: Column) -> Column:
