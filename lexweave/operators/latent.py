@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.weights import dot, normalised
+from lexweave.operators.blocks import in_blocks
 from lexweave.operators.similarity import ranked
 
-#: Cells of a source block that is held against all vectors at a time.
-BLOCK = 256
-
 
 def indexed_rows(mat: DataFrame, width: int) -> IndexedRowMatrix:
     """The matrix by documents, for the factorisation of the ML library; entries of a document are gathered once."""
@@ -34,15 +32,13 @@ def factors(mat: DataFrame, k: int) -> tuple[DataFrame, list[float], DenseMatrix
 def similar_vectors(vectors: DataFrame, sources: DataFrame, k: int, cosine: bool = True, decimals: int = 6) -> DataFrame:
     """(src, rel, score, rank): the k most similar vectors of each of a stated set of sources.
 
-    Both tables have (id, vec). The sources are gathered into blocks of BLOCK vectors, and each block is held against every
-    vector in the JVM. Scores are rounded before they are ranked; ties go to the smaller id. Null vectors are left out, and
+    Both tables have (id, vec). The sources are gathered into blocks, and each block is held against every vector in the JVM. Scores are rounded before they are ranked; ties go to the smaller id. Null vectors are left out, and
     zero vectors have no cosine.
     """
     shape = (lambda c: normalised(F.col(c))) if cosine else (lambda c: F.col(c))
-    a = sources.filter("vec is not null").select(F.struct(F.col("id").alias("src"), shape("vec").alias("v")).alias("s"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("_g"))
-    blocks = a.groupBy("_g").agg(F.collect_list("s").alias("block")).select("block", F.lit(1).alias("_one"))
-    b = vectors.filter("vec is not null").select(F.col("id").alias("rel"), shape("vec").alias("_v"), F.lit(1).alias("_one"))
-    pairs = b.join(F.broadcast(blocks), "_one").select("rel", "_v", F.explode("block").alias("s"))
+    a = sources.filter("vec is not null").select(F.col("id").alias("src"), shape("vec").alias("v"))
+    b = vectors.filter("vec is not null").select(F.col("id").alias("rel"), shape("vec").alias("_v"))
+    pairs = in_blocks(a, b).select("rel", "_v", F.explode("block").alias("s"))
     scored = pairs.select("s.src", "rel", F.round(dot(F.col("s.v"), F.col("_v")), decimals).alias("score")).filter("not isnan(score)")
     return ranked(scored, "src", "score", k, "row_number", "rel")
 

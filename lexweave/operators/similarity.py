@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.weights import UNITS, idf, in_units, two_poisson
+from lexweave.operators.blocks import in_blocks
 from lexweave.session import small_or_shuffled, staged
 
 
@@ -90,8 +91,8 @@ def related(mat: DataFrame, sources: DataFrame, k: int = 101, self_pairs: str =
 
 def with_zeros(pairs: DataFrame, sources: DataFrame, docs: DataFrame) -> DataFrame:
     """(src, rel, units) with 0 for the pairs that share no term: a stated set of sources against all documents."""
-    every = docs.select(F.col("pmid").alias("rel")).join(F.broadcast(sources.agg(F.collect_set("pmid").alias("_s"))))
-    every = every.select(F.explode("_s").alias("src"), "rel")
+    every = in_blocks(sources.select("pmid").distinct(), docs.select(F.col("pmid").alias("rel")))
+    every = every.select(F.explode("block.pmid").alias("src"), "rel")
     return every.join(pairs, ["src", "rel"], "left").fillna(0, ["units"])
 
 
