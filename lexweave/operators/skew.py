@@ -44,19 +44,19 @@ def fragments(df: DataFrame, key: str, spread: list[str], tasks: int) -> tuple[D
     loads = rows.groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
     heavy = [(r.k, r.n) for r in loads.filter(F.col("n") > F.lit(SPLIT_AT * total / tasks)).collect()]  # at most tasks / SPLIT_AT
-    plan = spark.createDataFrame(plan_of(heavy, total, tasks), "_key string, _shards int, _shard int, _task int")
-    sizes = plan.select("_key", "_shards").distinct()
+    plan = spark.createDataFrame(plan_of(heavy, total, tasks), "__key string, __shards int, __shard int, __task int")
+    sizes = plan.select("__key", "__shards").distinct()
     cut = (
-        rows.join(F.broadcast(sizes), F.col(key).cast("string") == F.col("_key"), "left")
-        .withColumn("_shard", F.when(F.col("_shards").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_shards")).cast("int")).otherwise(0))
-        .drop("_key", "_shards")
+        rows.join(F.broadcast(sizes), F.col(key).cast("string") == F.col("__key"), "left")
+        .withColumn("__shard", F.when(F.col("__shards").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("__shards")).cast("int")).otherwise(0))
+        .drop("__key", "__shards")
     )
-    to = plan.select("_key", "_shard", F.col("_task").alias("_to")).withColumnRenamed("_shard", "_s")
+    to = plan.select("__key", "__shard", F.col("__task").alias("__to")).withColumnRenamed("__shard", "__s")
     light = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(tasks)).cast("int")
     cut = (
-        cut.join(F.broadcast(to), (F.col(key).cast("string") == F.col("_key")) & (F.col("_shard") == F.col("_s")), "left")
-        .withColumn("_task", F.coalesce("_to", light))
-        .drop("_key", "_s", "_to")
+        cut.join(F.broadcast(to), (F.col(key).cast("string") == F.col("__key")) & (F.col("__shard") == F.col("__s")), "left")
+        .withColumn("__task", F.coalesce("__to", light))
+        .drop("__key", "__s", "__to")
     )
     return cut, plan, [k for k, _ in heavy]
 
@@ -75,10 +75,10 @@ def per_key(df: DataFrame, key: str, record: str, tasks: int | None = None) -> D
     spark = df.sparkSession
     tasks = tasks or tasks_of(spark)
     cut, _, _ = fragments(df.select(key, record), key, [record], tasks)
-    rows = cut.repartitionById(tasks, "_task").groupBy("_task", key, "_shard", record).agg(F.count(F.lit(1)).alias("_n"))
-    shard = rows.groupBy("_task", key, "_shard").agg(F.sum("_n").alias("_rows"), F.count(record).alias("_records"))
+    rows = cut.repartitionById(tasks, "__task").groupBy("__task", key, "__shard", record).agg(F.count(F.lit(1)).alias("__n"))
+    shard = rows.groupBy("__task", key, "__shard").agg(F.sum("__n").alias("__rows"), F.count(record).alias("__records"))
     return shard.groupBy(key).agg(
-        F.sum("_rows").alias("n_rows"), F.sum("_records").alias("n_records"), F.count(F.lit(1)).alias("n_shards"), F.countDistinct("_task").alias("n_tasks")
+        F.sum("__rows").alias("n_rows"), F.sum("__records").alias("n_records"), F.count(F.lit(1)).alias("n_shards"), F.countDistinct("__task").alias("n_tasks")
     )
 
 
@@ -94,12 +94,12 @@ def fragment_join(big: DataFrame, small: DataFrame, key: str, spread: list[str],
     small = small.select(*[F.col(c).alias(c if c == key or c not in big.columns else c + "_r") for c in small.columns])
     side = (
         small.filter(F.col(key).isNotNull())
-        .join(F.broadcast(plan), F.col(key).cast("string") == F.col("_key"), "left")
-        .withColumn("_shard", F.coalesce("_shard", F.lit(0)))
-        .withColumn("_task", F.coalesce("_task", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(tasks)).cast("int")))
-        .drop("_key", "_shards")
+        .join(F.broadcast(plan), F.col(key).cast("string") == F.col("__key"), "left")
+        .withColumn("__shard", F.coalesce("__shard", F.lit(0)))
+        .withColumn("__task", F.coalesce("__task", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(tasks)).cast("int")))
+        .drop("__key", "__shards")
     )
-    return cut.repartitionById(tasks, "_task").join(side.repartitionById(tasks, "_task"), ["_task", key, "_shard"]).drop("_task", "_shard")
+    return cut.repartitionById(tasks, "__task").join(side.repartitionById(tasks, "__task"), ["__task", key, "__shard"]).drop("__task", "__shard")
 
 
 def headings(df: DataFrame) -> DataFrame:
