@@ -286,7 +286,7 @@ def _nodes(rest: str, wiki: bool) -> list[Node]:
 
 
 #: A path is content if its fused ratio is at least this share of the spread over the text's nodes.
-KEEP = 0.1
+KEEP = 0.25
 
 
 def content(nodes: list[Node]) -> list[Node]:

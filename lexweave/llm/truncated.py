@@ -38,8 +38,9 @@ ZERO = re.compile(r"(?:^|[\s(=<>±])[-+]?0\.$")
 TRAILER = re.compile(r"^[^\W\d_][^\n:.!?]{2,30}\s?:\s\S[^.!?]*$")
 STOP = re.compile(r"[.!?](?:\s|$)")
 
-ANY_LANG = "*"
 _FIRST = 0x3000
+#: The code of digits; those below it are letters.
+DIGIT = 26
 
 
 def _alphabet() -> np.ndarray:
@@ -52,7 +53,7 @@ def _alphabet() -> np.ndarray:
         if "a" <= base <= "z":
             codes[i] = ord(base) - 97
         elif c.isdigit():
-            codes[i] = 26
+            codes[i] = DIGIT
         elif c.isspace():
             codes[i] = 27
         elif c in signs:
@@ -137,7 +138,7 @@ def _contexts(code: np.ndarray, order: int) -> np.ndarray:
 
 
 class Counts:
-    """Ends and continuations of contexts, by group."""
+    """Ends and continuations of contexts, by group: of bodies the ends of texts, of the rest the ends of words."""
 
     def __init__(self) -> None:
         self.groups: dict[tuple[str, str], int] = {}
@@ -151,6 +152,8 @@ class Counts:
         begin = np.repeat(np.cumsum(size) - size, size)
         place = np.arange(len(code)) - begin
         last = place == np.repeat(size - 1, size)
+        within = np.append((code[:-1] <= DIGIT) & (code[1:] <= DIGIT), False)
+        last |= np.repeat([s[1] != "body" for s in segments], size) & ~within
         for k in ORDERS:
             ok = place >= k - 1
             key = (_contexts(code, k)[ok] | group[ok] << (6 * max(ORDERS) + 1)) << 1 | last[ok]
@@ -210,14 +213,10 @@ def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def model_of(rows: DataFrame) -> DataFrame:
-    """(lang, col, k, ctx, n_end, n_cont): how often each backward context ended a part of a text, and how often it went on.
-
-    Besides the languages, the lang ANY_LANG holds them all: a text's language may be null or wrong.
-    """
+    """(lang, col, k, ctx, n_end, n_cont): how often each backward context ended a part of a text, and how often it went on."""
     local = rows.select("lang", "text").mapInArrow(_train, "lang string, col string, k int, ctx long, n_end long, n_cont long")
     sums = [F.sum("n_end").alias("n_end"), F.sum("n_cont").alias("n_cont")]
-    own = staged(local.groupBy("lang", "col", "k", "ctx").agg(*sums), "ngrams")
-    return own.unionByName(own.groupBy("col", "k", "ctx").agg(*sums).withColumn("lang", F.lit(ANY_LANG)))
+    return staged(local.groupBy("lang", "col", "k", "ctx").agg(*sums), "ngrams")
 
 
 def _log_odds(end, cont):
@@ -237,9 +236,10 @@ def judged(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(id, lang, col, score, threshold, notice, closed, cut) of every value that isn't null or blank.
 
     A backward character n-gram model counts, for each language and column (title, body, trailing line), how often each
-    context ended a part of a text and how often it went on. A value's score is the log-odds of its final context, the
+    context ended a part of a text and how often it went on; in titles and trailing lines, which are no sentences, how often
+    it ended a word and how often the word went on. A value's score is the log-odds of its final context, the
     longest that was seen SUPPORT times, itself left out. A value is cut if it ends with a notice of it; or if a title or a
-    trailing line scores FAR_BELOW the threshold of its column, both in its language and in all together; or if a body
+    trailing line scores FAR_BELOW the threshold of its column, in its language and in every other, as it may be wrong; or if a body
     doesn't close a sentence; or if it seems to but its context went on EVIDENCE times elsewhere and scores FAR_BELOW the
     threshold of its language. A null language is a language of its own. Null and blank texts are not cut. The key may
     repeat: rows are judged one by one.
@@ -252,22 +252,22 @@ def judged(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     kind = rows.schema["_key"].dataType.simpleString()
     finals = finals.mapInArrow(_finals, f"id struct<_row:bigint,_key:{kind}>, lang string, col string, ctx array<long>, notice boolean, closed boolean")
     finals = staged(finals, "finals")
-    long = finals.select("id", F.explode(F.array("lang", F.lit(ANY_LANG))).alias("lang"), "col", "ctx")
-    long = long.select("id", "lang", "col", F.posexplode("ctx").alias("_i", "ctx")).filter("ctx >= 0")
+    limits = staged(thresholds(model), "thresholds")
+    ends = staged(model.filter("n_end > 0"), "ends")
+    margin = _log_odds(F.col("n_end"), F.col("n_cont")) - F.col("threshold")
+    anywhere = ends.filter(F.col("n_end") + F.col("n_cont") >= SUPPORT).join(small_or_shuffled(limits), ["lang", "col"]).groupBy("col", "k", "ctx").agg(F.max(margin).alias("any_margin"))
+    long = finals.select("id", "lang", "col", F.posexplode("ctx").alias("_i", "ctx")).filter("ctx >= 0")
     long = long.withColumn("k", F.element_at(F.array(*[F.lit(k) for k in ORDERS]), F.col("_i") + 1))
-    ends = small_or_shuffled(model.filter("n_end > 0"))
-    seen = long.join(ends, ["lang", "col", "k", "ctx"]).withColumn("n_end", F.col("n_end") - 1).filter(F.col("n_end") + F.col("n_cont") >= SUPPORT)
-    own = F.col("lang") != ANY_LANG
+    seen = long.join(small_or_shuffled(ends), ["lang", "col", "k", "ctx"]).join(small_or_shuffled(anywhere), ["col", "k", "ctx"], "left")
+    enough = F.col("n_end") - 1 + F.col("n_cont") >= SUPPORT
     scores = seen.groupBy("id").agg(
-        F.max_by(F.struct(_log_odds(F.col("n_end"), F.col("n_cont")).alias("score"), "n_cont"), F.when(own, F.col("k"))).alias("b"),
-        F.max_by(_log_odds(F.col("n_end"), F.col("n_cont")), F.when(~own, F.col("k"))).alias("any_score"),
+        F.max_by(F.struct(_log_odds(F.col("n_end") - 1, F.col("n_cont")).alias("score"), "n_cont"), F.when(enough, F.col("k"))).alias("b"),
+        F.max_by("any_margin", F.when(F.col("any_margin").isNotNull(), F.col("k"))).alias("any_margin"),
     )
-    limits = staged(thresholds(model), "thresholds")
-    anywhere = limits.filter(~own).select("col", F.col("threshold").alias("any_threshold"))
-    out = finals.join(scores, "id", "left").join(small_or_shuffled(limits), ["lang", "col"], "left").join(F.broadcast(anywhere), "col", "left")
+    out = finals.join(scores, "id", "left").join(small_or_shuffled(limits), ["lang", "col"], "left")
     score, least = F.col("b.score"), F.col("threshold")
     below = F.coalesce(score < least - FAR_BELOW, F.lit(False))
-    odd = below & F.coalesce(F.col("any_score") < F.col("any_threshold") - FAR_BELOW, F.lit(False))
+    odd = below & F.coalesce(F.col("any_margin") < -FAR_BELOW, F.lit(False))
     against = below & (F.col("b.n_cont") >= EVIDENCE)
     cut = F.col("notice") | F.when(F.col("col") == "body", ~F.col("closed") | against).otherwise(~F.col("closed") & odd)
     return out.select(F.col("id._key").alias("id"), "lang", "col", score.alias("score"), "threshold", "notice", "closed", cut.alias("cut"))
