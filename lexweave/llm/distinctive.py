@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexweave.llm.frequency import SQL_CURRENT
 from lexweave.llm.terms import TERM, trie_counts
 from lexweave.operators.current import current_rows
-from lexweave.session import rows_up_to, staged, table
+from lexweave.session import staged, table
 
 #: Terms this close to one another co-occur: each is linked with the next WINDOW - 1.
 WINDOW = 3
@@ -108,7 +108,7 @@ def distinctive_terms(df: DataFrame, key: str, text: str, margin: float | None =
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     counts, total = trie_counts(rows, text="_text")
     counts = staged(counts.select("term", "records"), "terms")
-    if rows_up_to(counts, vocabulary) <= vocabulary:
+    if counts.count() <= vocabulary:
         known = counts.toPandas()
         shared = spark.sparkContext.broadcast((known["term"].tolist(), np.log(total / known["records"].to_numpy(np.float64))))
         return rows.mapInArrow(_weighted(shared, margin), SCORED)

@@ -126,7 +126,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, shard_rows:
     paths = spark.createDataFrame(files, "path string")
     best = paths.repartition(max(1, len(files))).mapInArrow(_skipping(n), schema)
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "i"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return best.withColumn("rank", rank).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
 
 
 def p7_top(spark: SparkSession, sf_dir: str) -> DataFrame:

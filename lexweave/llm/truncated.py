@@ -17,6 +17,8 @@ from lexweave.session import small_or_shuffled, staged, table
 ORDERS = (2, 3, 5)
 #: Times that a context must have been seen for the model to rely on it.
 SUPPORT = 5
+#: What the chance of an end after a shorter context counts in that after a longer one, in times seen.
+PRIOR = 5.0
 #: Times that a closed sentence's context must have gone on elsewhere to count as evidence that it should here, and how
 #: far below the threshold its log-odds must be.
 EVIDENCE, FAR_BELOW = 50, 1.0
@@ -224,12 +226,12 @@ def _log_odds(end, cont):
 
 
 def thresholds(model: DataFrame) -> DataFrame:
-    """(lang, col, threshold): half way between the mean log-odds of ends and of continuations."""
+    """(lang, col, threshold, base): half way between the mean log-odds of ends and of continuations, and the share of ends."""
     score = _log_odds(F.col("n_end"), F.col("n_cont"))
     means = model.filter(F.col("k") == ORDERS[1]).groupBy("lang", "col").agg(
-        (F.sum(F.col("n_end") * score) / F.sum("n_end")).alias("e"), (F.sum(F.col("n_cont") * score) / F.sum("n_cont")).alias("c")
+        (F.sum(F.col("n_end") * score) / F.sum("n_end")).alias("e"), (F.sum(F.col("n_cont") * score) / F.sum("n_cont")).alias("c"), (F.sum("n_end") / F.sum(F.col("n_end") + F.col("n_cont"))).alias("base")
     )
-    return means.select("lang", "col", ((F.col("e") + F.coalesce("c", "e")) / 2).alias("threshold"))
+    return means.select("lang", "col", ((F.coalesce("e", "c") + F.coalesce("c", "e")) / 2).alias("threshold"), F.greatest("base", F.lit(1e-9)).alias("base"))
 
 
 def judged(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -237,12 +239,12 @@ def judged(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
     A backward character n-gram model counts, for each language and column (title, body, trailing line), how often each
     context ended a part of a text and how often it went on; in titles and trailing lines, which are no sentences, how often
-    it ended a word and how often the word went on. A value's score is the log-odds of its final context, the
-    longest that was seen SUPPORT times, itself left out. A value is cut if it ends with a notice of it; or if a title or a
-    trailing line scores FAR_BELOW the threshold of its column, in its language and in every other, as it may be wrong; or if a body
-    doesn't close a sentence; or if it seems to but its context went on EVIDENCE times elsewhere and scores FAR_BELOW the
-    threshold of its language. A null language is a language of its own. Null and blank texts are not cut. The key may
-    repeat: rows are judged one by one.
+    it ended a word and how often the word went on. A value's score is the log-odds of its final context, itself left out: the
+    chance after each context is weighed with PRIOR times that after the next shorter one. A value is cut if it ends with a
+    notice of it; or if a title or a trailing line scores FAR_BELOW the threshold of its column, in its language and in every
+    other, as it may be wrong; or if a body doesn't close a sentence, which an exact check tells and the score mostly agrees
+    with; or if it seems to, but scores as low as that and its context went on EVIDENCE times elsewhere. A null language is a
+    language of its own. Null and blank texts are not cut. The key may repeat: rows are judged one by one.
     """
     rows = df.filter(F.col(text).isNotNull() & (F.trim(text) != "")).select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text")
@@ -259,18 +261,20 @@ def judged(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     long = finals.select("id", "lang", "col", F.posexplode("ctx").alias("_i", "ctx")).filter("ctx >= 0")
     long = long.withColumn("k", F.element_at(F.array(*[F.lit(k) for k in ORDERS]), F.col("_i") + 1))
     seen = long.join(small_or_shuffled(ends), ["lang", "col", "k", "ctx"]).join(small_or_shuffled(anywhere), ["col", "k", "ctx"], "left")
-    enough = F.col("n_end") - 1 + F.col("n_cont") >= SUPPORT
-    scores = seen.groupBy("id").agg(
-        F.max_by(F.struct(_log_odds(F.col("n_end") - 1, F.col("n_cont")).alias("score"), "n_cont"), F.when(enough, F.col("k"))).alias("b"),
-        F.max_by("any_margin", F.when(F.col("any_margin").isNotNull(), F.col("k"))).alias("any_margin"),
-    )
-    out = finals.join(scores, "id", "left").join(small_or_shuffled(limits), ["lang", "col"], "left")
-    score, least = F.col("b.score"), F.col("threshold")
+    at = lambda k: F.max(F.when(F.col("k") == k, F.struct((F.col("n_end") - 1).alias("e"), F.col("n_cont").alias("c")))).alias(f"n{k}")
+    counts = seen.groupBy("id").agg(*[at(k) for k in ORDERS], F.max_by("any_margin", F.when(F.col("any_margin").isNotNull(), F.col("k"))).alias("any_margin"))
+    out = finals.join(counts, "id", "left").join(small_or_shuffled(limits), ["lang", "col"], "left")
+    chance = F.col("base")
+    for k in ORDERS:
+        e, c = F.coalesce(F.col(f"n{k}.e"), F.lit(0)), F.coalesce(F.col(f"n{k}.c"), F.lit(0))
+        chance = (e + F.lit(PRIOR) * chance) / (e + c + F.lit(PRIOR))
+    out = out.withColumn("score", F.log(chance / (1 - chance)))
+    score, least = F.col("score"), F.col("threshold")
     below = F.coalesce(score < least - FAR_BELOW, F.lit(False))
     odd = below & F.coalesce(F.col("any_margin") < -FAR_BELOW, F.lit(False))
-    against = below & (F.col("b.n_cont") >= EVIDENCE)
+    against = odd & F.coalesce(F.col(f"n{ORDERS[1]}.c") >= EVIDENCE, F.lit(False))
     cut = F.col("notice") | F.when(F.col("col") == "body", ~F.col("closed") | against).otherwise(~F.col("closed") & odd)
-    return out.select(F.col("id._key").alias("id"), "lang", "col", score.alias("score"), "threshold", "notice", "closed", cut.alias("cut"))
+    return out.select(F.col("id._key").alias("id"), "lang", "col", "score", "threshold", "notice", "closed", cut.alias("cut"))
 
 
 def p10_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
