@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import BROADCAST_ROWS, rows_up_to
+from lexweave.session import BROADCAST_ROWS
 
 
 def current_rows(df: DataFrame, key: str, order: str, cols: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,7 +25,7 @@ def current_rows(df: DataFrame, key: str, order: str, cols: list[str], limit: in
         rank = F.struct(F.col(order).isNotNull(), F.col(order), value)
         return part.groupBy(key).agg(F.max_by(value, rank).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
-    if rows_up_to(several, limit) > limit:
+    if several.count() > limit:
         return latest(rows)
     several = F.broadcast(several)
     once = rows.join(several, key, "left_anti").select(key, *cols)

@@ -71,10 +71,10 @@ def ranked(df: DataFrame, part: str, order: str, k: int, how: str = "rank", tie:
     """
     by = [F.desc(order)] + ([F.asc(tie)] if tie else [])
     if how == "rank":
-        return df.withColumn("rank", F.rank().over(Window.partitionBy(part).orderBy(F.desc(order)))).filter(F.col("rank") <= k)
+        return df.withColumn("rank", F.rank().over(Window.partitionBy(part).orderBy(F.desc(order)))).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
     if how == "distinct":
         df = df.groupBy(part, order).agg(F.min(tie).alias(tie))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*by))).filter(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*by))).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def related(mat: DataFrame, sources: DataFrame, k: int = 101, self_pairs: str = "keep", how: str = "rank", **names: str) -> DataFrame:

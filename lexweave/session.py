@@ -72,14 +72,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_up_to(df: DataFrame, limit: int) -> int:
-    """The number of rows, counted no further than limit + 1."""
-    return df.limit(limit + 1).count()
-
-
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if rows_up_to(df, limit) <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
