@@ -16,8 +16,9 @@ from lexweave.session import staged, table
 
 #: Terms this close to one another co-occur: each is linked with the next WINDOW - 1.
 WINDOW = 3
-#: Largest vocabulary that is sent to the workers; a larger one is joined.
-VOCABULARY = 300_000
+#: Most terms of two or more records that are sent to the workers; if there are more, the vocabulary is joined. The terms
+#: of one record needn't be sent: their rarity is known.
+VOCABULARY = 1_000_000
 #: Terms of more than this share of the records are joined by broadcast where the vocabulary is joined; there are at
 #: most (mean terms of a record) / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -27,13 +28,20 @@ NODES = "_key long, term string, occurrences long, degree long"
 SCORED = NODES + ", graph_weight double, tf_idf double"
 
 
-def _graph(texts: list[str | None], codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct term of each text: the text, the term's code, its occurrences, and its distinct neighbours."""
+def _graph(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of each distinct term of each text: the text, the term's code, its occurrences, and its distinct neighbours.
+
+    The terms that aren't known have the codes after those; they are given last.
+    """
     words = [TERM.findall(t.lower()) if t else [] for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
-    code = np.fromiter((codes(w) for ws in words for w in ws), np.int64, int(size.sum()))
+    flat = [w for ws in words for w in ws]
+    code = np.fromiter((known.get(w, -1) for w in flat), np.int64, len(flat))
+    other: dict[str, int] = {}
+    for i in np.flatnonzero(code < 0).tolist():
+        code[i] = len(known) + other.setdefault(flat[i], len(other))
     if not len(code):
-        return code, code, code, code
+        return code, code, code, code, []
     doc = np.repeat(np.arange(len(words)), size)
     wide = int(code.max()) + 1
     node, at, occurrences = np.unique(doc * wide + code, return_inverse=True, return_counts=True)
@@ -47,21 +55,21 @@ def _graph(texts: list[str | None], codes) -> tuple[np.ndarray, np.ndarray, np.n
     if len(edge):
         edge = edge[np.append(True, edge[1:] != edge[:-1])]
     degree = np.bincount(edge // len(node), minlength=len(node)) + np.bincount(edge % len(node), minlength=len(node))
-    return node // wide, node % wide, occurrences, degree
+    return node // wide, node % wide, occurrences, degree, list(other)
 
 
 def _weighted(shared, margin: float | None):
     """Graph and term weights of every text, with the vocabulary at hand; with a margin, only terms that exceed it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf = shared.value
-        codes = {t: i for i, t in enumerate(vocabulary)}
-        names = np.array(vocabulary, object)
+        vocabulary, rarity, once = shared.value
+        known = {t: i for i, t in enumerate(vocabulary)}
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, code, occurrences, degree = _graph(batch.column(1).to_pylist(), codes.__getitem__)
+            doc, code, occurrences, degree, other = _graph(batch.column(1).to_pylist(), known)
             if not len(doc):
                 continue
+            idf = np.append(rarity, np.full(len(other), once))
             tf_idf = occurrences * idf[code]
             graph = degree * idf[code]
             keep = np.arange(len(doc))
@@ -75,7 +83,7 @@ def _weighted(shared, margin: float | None):
                 rest[first] = -np.inf
                 keep = first[top > margin * np.maximum.reduceat(rest, start)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[doc[keep]]), pa.array(names[code[keep]], pa.string()), pa.array(occurrences[keep]), pa.array(degree[keep]), pa.array(graph[keep]), pa.array(tf_idf[keep])],
+                [pa.array(keys[doc[keep]]), pa.array([vocabulary[c] if c < len(vocabulary) else other[c - len(vocabulary)] for c in code[keep].tolist()], pa.string()), pa.array(occurrences[keep]), pa.array(degree[keep]), pa.array(graph[keep]), pa.array(tf_idf[keep])],
                 names=["_key", "term", "occurrences", "degree", "graph_weight", "tf_idf"],
             )
 
@@ -84,10 +92,9 @@ def _weighted(shared, margin: float | None):
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes: dict[str, int] = {}
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        doc, code, occurrences, degree = _graph(batch.column(1).to_pylist(), lambda w: codes.setdefault(w, len(codes)))
-        names = np.array(list(codes), object)
+        doc, code, occurrences, degree, other = _graph(batch.column(1).to_pylist(), {})
+        names = np.array(other, object)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys[doc]), pa.array(names[code], pa.string()), pa.array(occurrences, pa.int64()), pa.array(degree, pa.int64())], names=["_key", "term", "occurrences", "degree"]
         )
@@ -101,16 +108,17 @@ def distinctive_terms(df: DataFrame, key: str, text: str, margin: float | None =
     that have a term; tf_idf has the occurrences in place of the neighbours. With `margin`, only the term of each record
     whose tf_idf is more than `margin` times that of every other comes out; a record's only term always does.
 
-    Null and empty texts have no terms. Rarity comes from all records. A vocabulary of up to `vocabulary` terms is sent to
-    the workers; a larger one is joined, its few hot terms by broadcast and the rest by a shuffle.
+    Null and empty texts have no terms. Rarity comes from all records. Up to `vocabulary` terms of several records are sent
+    to the workers; more are joined, the few hot ones by broadcast and the rest by a shuffle.
     """
     spark = df.sparkSession
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     counts, total = trie_counts(rows, text="_text")
     counts = staged(counts.select("term", "records"), "terms")
-    if counts.count() <= vocabulary:
-        known = counts.toPandas()
-        shared = spark.sparkContext.broadcast((known["term"].tolist(), np.log(total / known["records"].to_numpy(np.float64))))
+    several = counts.filter("records > 1")
+    if several.count() <= vocabulary:
+        known = several.toPandas()
+        shared = spark.sparkContext.broadcast((known["term"].tolist(), np.log(total / known["records"].to_numpy(np.float64)), float(np.log(max(total, 1)))))
         return rows.mapInArrow(_weighted(shared, margin), SCORED)
     nodes = rows.mapInArrow(_nodes, NODES)
     hot = counts.filter(F.col("records") > F.lit(HOT_SHARE * total))
