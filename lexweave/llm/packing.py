@@ -69,13 +69,15 @@ def packed(items: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS)
     items has (doc_id, n_tokens), limits (limit_name, capacity_tokens). An item above a capacity is split into full
     containers' worth and a rest, each a part of its own; no other is split. Items without tokens take no space. Items are
     dealt by hash into groups of about `group_items`, each packed by itself, so that no task grows with the data and at
-    most one container in thousands is left part full for it. Limits with a null or no positive capacity are left out.
+    most one container in thousands is left part full for it. The limits are parameters, a few rows; those with a null or no
+    positive capacity are left out.
     """
     n = items.count()
     groups = max(1, -(-n // group_items))
-    caps = F.broadcast(limits.filter("capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").cast("int")))
+    caps = [F.struct(F.lit(r.limit_name).alias("limit_name"), F.lit(r.c).alias("capacity_tokens")) for r in limits.filter("capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").cast("int").alias("c")).collect()]
+    none = F.array().cast("array<struct<limit_name:string,capacity_tokens:int>>")
     each = items.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)).alias("grp"))
-    each = each.withColumn("one", F.lit(1)).join(caps.withColumn("one", F.lit(1)), "one").drop("one")
+    each = each.select("doc_id", "n", "grp", F.explode(F.array(*caps) if caps else none).alias("_l")).select("doc_id", "n", "grp", "_l.*")
     last = F.greatest(F.ceil(F.col("n") / F.col("capacity_tokens")) - 1, F.lit(0)).cast("int")
     each = each.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("part").cast("long") * F.col("capacity_tokens")
