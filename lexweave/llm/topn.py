@@ -83,6 +83,13 @@ def _skipping(n: int):
     return run
 
 
+def _uri(path: str) -> str:
+    """A path of Hadoop's as the Arrow file systems know it."""
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        return path.replace("file:/", "file:///", 1)
+    return path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
+
+
 def clustered(df: DataFrame, group: str, item: str, score: str, shard_rows: int = SHARD_ROWS, row_group: int = ROW_GROUP) -> str:
     """A copy of (group, item, score) clustered by group, each file sorted by group and descending score; its path.
 
@@ -121,7 +128,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, shard_rows:
     at = jvm.org.apache.hadoop.fs.Path(path)
     listing = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
     files = [(f.getPath().toString(),) for f in listing if f.getPath().getName().endswith(".parquet")]
-    files = [(f.replace("file:/", "file:///", 1) if f.startswith("file:/") and not f.startswith("file:///") else f,) for (f,) in files]
+    files = [(_uri(f),) for (f,) in files]
     schema = "g long, i long, s double, n_read int, n_groups int"
     paths = spark.createDataFrame(files, "path string")
     best = paths.repartition(max(1, len(files))).mapInArrow(_skipping(n), schema)
