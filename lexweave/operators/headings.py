@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.weights import in_units, overlap_ratio, two_poisson
-from lexweave.session import small_or_shuffled
+from lexweave.session import small_or_shuffled, spread
 
 FLAGS = [(False, False), (False, True), (True, False), (True, True)]
 
@@ -18,10 +18,14 @@ def flagged(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def relations(heads: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """(pmid, related, major, related_major, n): shared headings of each small-set record with each other record."""
+    """(pmid, related, major, related_major, n): shared headings of each small-set record with each other record.
+
+    The large side is spread by its records before it is joined, so that the pairs, many times its rows, are counted and
+    pivoted where they arise.
+    """
     a = small.select(F.col("pmid"), *keys, F.col("major"))
     b = heads.select(F.col("pmid").alias("related"), *keys, F.col("major").alias("related_major"))
-    return b.join(small_or_shuffled(a), keys).groupBy("pmid", "related", "major", "related_major").agg(F.count(F.lit(1)).alias("n"))
+    return spread(b, "related").join(small_or_shuffled(a), keys).groupBy("pmid", "related", "major", "related_major").agg(F.count(F.lit(1)).alias("n"))
 
 
 def relation_pivot(rel: DataFrame) -> DataFrame:
@@ -76,4 +80,4 @@ def concept_similarity(src: DataFrame, corpus: DataFrame, lengths: DataFrame, id
     weighted = corpus.join(idfs, "mesh").join(lengths, "pmid").select("mesh", "pmid", in_units(two_poisson(F.col("idf"), F.col("cnt"), F.col("len"))).alias("w"))
     mine = src.select("mesh", "pmid").distinct().join(weighted, ["mesh", "pmid"]).select("mesh", F.col("pmid").alias("src"), F.col("w").alias("_a"))
     other = weighted.select("mesh", F.col("pmid").alias("rel"), F.col("w").alias("_b"))
-    return other.join(small_or_shuffled(mine), "mesh").groupBy("src", "rel").agg(F.sum(F.col("_a") * F.col("_b")).alias("units"))
+    return spread(other, "rel").join(small_or_shuffled(mine), "mesh").groupBy("src", "rel").agg(F.sum(F.col("_a") * F.col("_b")).alias("units"))

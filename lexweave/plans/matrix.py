@@ -93,7 +93,7 @@ def encode_docs(spark, sf):
 
 def _related(**how):
     def run(spark, sf):
-        mat = matrix(spark, sf)
+        mat = staged(matrix(spark, sf), "matrix")
         out = S.related(mat, sources(mat), **how)
         return out.select("src", "rel", F.round(S.score(F.col("units")), 9).alias("score"), "rank")
 
@@ -101,14 +101,14 @@ def _related(**how):
 
 
 def product_with_zeros(spark, sf):
-    mat = matrix(spark, sf)
+    mat = staged(matrix(spark, sf), "matrix")
     src = sources(mat)
     out = S.with_zeros(S.product(mat, src), src.select("pmid"), mat.select("pmid").distinct())
     return out.groupBy("src").agg(F.count(F.lit(1)).alias("n_rel"), F.sum((F.col("units") == 0).cast("long")).alias("n_zero"), F.sum("units").alias("units"))
 
 
 def _top_pairs(spark, sf, k=5):
-    mat = matrix(spark, sf)
+    mat = staged(matrix(spark, sf), "matrix")
     return mat, S.related(mat, sources(mat), k, "drop_before", "row_number")
 
 

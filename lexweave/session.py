@@ -77,5 +77,14 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df hashed by cols into spark.sql.shuffle.partitions parts that aren't merged at run time.
+
+    It is for tables that a join with a broadcast side multiplies: merged by their own small size, a few tasks would do all
+    of that join, and groupings that have cols among their keys need no shuffle of what the join gives.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
