@@ -114,11 +114,11 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """(src_pmid, rel_pmid, score, link_name): scored pairs in the place of an external list."""
     rows = table(spark, sf, "pp_score").filter("score is not null and not isnan(score) and src_pmid <> rel_pmid")
     best = rows.groupBy("src_pmid", "rel_pmid").agg(F.max("score").alias("score"))
-    return best.withColumn("link_name", F.when(F.col("score") >= 0, "pubmed_pubmed").otherwise("other"))
+    return best.withColumn("link_name", F.when(F.col("score") >= 0, "article_article").otherwise("other"))
 
 
 def neighbour_rank(spark, sf):
-    return S.ranked(neighbours(spark, sf).filter(F.col("link_name") == "pubmed_pubmed"), "src_pmid", "score", 20)
+    return S.ranked(neighbours(spark, sf).filter(F.col("link_name") == "article_article"), "src_pmid", "score", 20)
 
 
 def results(spark, sf):
@@ -246,7 +246,7 @@ _SYN = "syn as (select distinct mesh, unnest(regexp_extract_all(mesh, '[a-z0-9]{
 _HITS = f"{_HEADS}, {_CUR}, {_SYN}, hits as (select mesh, pmid, major, fuzzy, cast((length(lower(abs)) - length(replace(lower(abs), fuzzy, ''))) // length(fuzzy) as int) n from heads join syn using (mesh) join cur using (pmid) where abs is not null)"
 _W_CNT = f"sqrt(idf) / (1 + pow({W.MU / W.LAMBDA!r}, cnt - 1) * exp({W.LAMBDA - W.MU!r} * len))"
 _CONCEPT = f"{_POSTS}, {_CUR}, lens as (select pmid, (case when regexp_replace(abs, ' +$', '') = '' and abs <> '' then 0 else len(string_split(regexp_replace(abs, ' +$', ''), ' ')) end) len from cur where abs is not null), idfs as (select mesh, ln((select count(distinct pmid) from posts) / count(*)) idf from posts group by mesh), w as (select mesh, pmid, cast(round({_W_CNT} * 1000000) as bigint) w from posts join idfs using (mesh) join lens using (pmid)), sim as (select a.pmid src, b.pmid rel, cast(sum(a.w * b.w) as bigint) units from w a join w b using (mesh) where a.pmid % 100 = 0 group by all)"
-_NB = "nb as (select src_pmid, rel_pmid, max(score) score from pp_score where score is not null and not isnan(score) and src_pmid <> rel_pmid group by all), nbr as (select *, 'pubmed_pubmed' link_name, rank() over (partition by src_pmid order by score desc) r from nb where score >= 0 qualify r <= 20)"
+_NB = "nb as (select src_pmid, rel_pmid, max(score) score from pp_score where score is not null and not isnan(score) and src_pmid <> rel_pmid group by all), nbr as (select *, 'article_article' link_name, rank() over (partition by src_pmid order by score desc) r from nb where score >= 0 qualify r <= 20)"
 _RES = f"{_HEADS}, {_NB}, src as (select distinct src_pmid pmid from nb where src_pmid % 100 = 0), rel as (select a.pmid, b.pmid related, count(*) n from heads a join heads b using (mesh) where a.pmid in (select pmid from src) group by all), res as (select pmid src_pmid, related rel_pmid, rank() over (partition by pmid order by n desc) k from rel where pmid <> related qualify k <= 50)"
 _OVER = "select src_pmid, count(k) n_common from nbr {} join res using (src_pmid, rel_pmid) where src_pmid % 100 = 0 group by 1"
 SQL = {

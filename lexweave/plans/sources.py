@@ -153,7 +153,7 @@ def SQL() -> dict[str, str]:
         "raw_documents": f"with {_CUR} select cast(pmid as bigint) doc_id, {flat('title')} title, {strip('rtrim(' + flat('abs') + ')')} body from cur where trim({flat('abs')}) <> ''",
         "id_list": f"with {_MAT} select distinct pmid from mat order by pmid limit 1000",
         "qualifier_file": "select pmid, descriptor_name, qualifier_name, qualifier_name_major_yn = 'Y' major from qualifier where qualifier_name_major_yn in ('Y', 'N') and descriptor_name is not null and qualifier_name is not null",
-        "neighbour_file": f"with {_NB} select src_pmid, rel_pmid, cast(floor(score) as int) score, case when score >= 0 then 'pubmed_pubmed' else 'other' end link_name from nb",
+        "neighbour_file": f"with {_NB} select src_pmid, rel_pmid, cast(floor(score) as int) score, case when score >= 0 then 'article_article' else 'other' end link_name from nb",
         "posting_file": f"with {_POSTS} select mesh, pmid, cnt, major from posts",
         "vocabulary_file": "select term, term_id from vocab where term is not null and term_id is not null",
         "posting_lines_parse": six,
