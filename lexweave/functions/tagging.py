@@ -82,6 +82,33 @@ def trie_phrases(phrases: list[tuple[str, int]], compat: bool = False):
     return find
 
 
+def phrases_of(docs: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
+    """(key, phrase_id): the phrases of (id, str), a dictionary of any size, in each row of words, as PhraseTrie finds them.
+
+    Only entries that are a run of words of a row can be found in it. So the runs of the lengths that entries have are joined
+    with the dictionary, and each row gets a trie of its own hits. Each row must have a key of its own. Of entries with the
+    same words the one with the highest id is taken.
+    """
+    spaces = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    entries = dictionary.dropna(subset=["id", "str"]).select("id", F.filter(F.split("str", spaces, -1), lambda w: w != "").alias("_w"))
+    entries = entries.filter(F.size("_w") > 0).groupBy(F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_size")).agg(F.max("id").alias("_id"))
+    sizes = [r[0] for r in entries.select("_size").distinct().collect()]
+
+    @F.pandas_udf("array<string>")
+    def runs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda ws: list({" ".join(ws[i : i + n]) for n in sizes for i in range(len(ws) - n + 1)} if ws is not None else []))
+
+    @F.pandas_udf("array<long>")
+    def find(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, hits in parts:
+            yield pd.Series([PhraseTrie([(h["_run"], h["_id"]) for h in own]).find(list(ws)) for ws, own in zip(texts, hits)])
+
+    found = docs.select(F.col(key).alias("_key"), F.explode(runs(words)).alias("_run")).join(small_or_shuffled(entries.select("_run", "_id")), "_run")
+    found = found.groupBy("_key").agg(F.collect_list(F.struct("_run", "_id")).alias("_hits"))
+    return docs.join(found, F.col(key).eqNullSafe(F.col("_key"))).select(key, F.explode(find(words, "_hits")).alias("phrase_id"))
+
+
 def keyed(df: DataFrame, phrase: str) -> DataFrame:
     """df with a key column for each level of the cascade."""
     p = F.col(phrase)
@@ -110,25 +137,26 @@ def cascade(phrases: DataFrame, phrase: str, dictionary: DataFrame) -> DataFrame
     return out.select(*phrases.columns, F.col("_hit.level").alias("level"), F.col("_hit.cui").alias("cui"), score.alias("score"))
 
 
-def annotator(entries: list[tuple[int, str]]):
-    """A column function from a phrase to its concepts: array of (matched, cui, score), by descending score.
+def _norm(text: str) -> str:
+    return " ".join("".join(c.lower() if c.isalnum() or c.isspace() else " " for c in text).split())
 
-    The whole phrase is tried first. Else runs of words from the longest to single ones are, left to right, but not those
-    whose words have all been matched before. Each concept counts once, as first found. The entries (cui, str) are a
-    bounded dictionary.
-    """
-    stops = set(stop_words())
-    norm = lambda s: " ".join("".join(c.lower() if c.isalnum() or c.isspace() else " " for c in s).split())
-    forms = [lambda s: s, norm, lambda s: " ".join(sorted(norm(s).split())), lambda s: " ".join(sorted(w for w in norm(s).split() if w not in stops))]
-    tables: list[dict[str, tuple[int, str]]] = [{} for _ in forms]
+
+def _forms(text: str, stops: set[str]) -> list[str]:
+    """The keys of a text at each of the LEVELS."""
+    norm = _norm(text)
+    return [text, norm, " ".join(sorted(norm.split())), " ".join(sorted(w for w in norm.split() if w not in stops))]
+
+
+def _finder(entries: list[tuple[int, str]], stops: set[str]):
+    tables: list[dict[str, tuple[int, str]]] = [{} for _ in LEVELS]
     for cui, text in sorted(entries):
-        for form, known in zip(forms, tables):
-            if key := form(text):
+        for key, known in zip(_forms(text, stops), tables):
+            if key:
                 known.setdefault(key, (cui, text))
 
     def match(text: str) -> tuple[str, int, float] | None:
-        for form, known, (_, worth) in zip(forms, tables, LEVELS):
-            if (key := form(text)) and (hit := known.get(key)):
+        for key, known, (_, worth) in zip(_forms(text, stops), tables, LEVELS):
+            if key and (hit := known.get(key)):
                 n, m = len(text.split()), len(hit[1].split())
                 return text, hit[0], worth * min(n, m) / max(n, m)
         return None
@@ -148,9 +176,58 @@ def annotator(entries: list[tuple[int, str]]):
             first.setdefault(hit[1], hit)
         return [{"matched": m, "cui": c, "score": s} for m, c, s in sorted(first.values(), key=lambda h: (-h[2], h[1]))]
 
-    @F.pandas_udf("array<struct<matched:string,cui:long,score:double>>")
+    return concepts
+
+
+CONCEPTS = "array<struct<matched:string,cui:long,score:double>>"
+
+
+def annotator(entries: list[tuple[int, str]]):
+    """A column function from a phrase to its concepts: array of (matched, cui, score), by descending score.
+
+    The whole phrase is tried first. Else runs of words from the longest to single ones are, left to right, but not those
+    whose words have all been matched before. Each concept counts once, as first found. The entries (cui, str) are a
+    bounded dictionary; annotated() takes one of any size.
+    """
+    concepts = _finder(entries, set(stop_words()))
+
+    @F.pandas_udf(CONCEPTS)
     def annotate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield part.map(lambda t: concepts(t) if t is not None else None)
 
     return annotate
+
+
+def annotated(phrases: DataFrame, phrase: str, dictionary: DataFrame) -> DataFrame:
+    """phrases with an array `concepts` as annotator() gives it, for a dictionary (cui, str) of any size; rows without hits are left out.
+
+    The keys of the word runs of each distinct phrase are joined with the keys of the dictionary, and each phrase is
+    annotated from the entries that it hits, which are all that can be found in it.
+    """
+    stops = set(stop_words())
+    pair = "array<struct<level:int,key:string>>"
+    keys = lambda texts: [{"level": i, "key": k} for i, k in {(i, k) for t in texts for i, k in enumerate(_forms(t, stops)) if k}]
+    spans = lambda ws: (" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1))
+
+    @F.pandas_udf(pair)
+    def own_keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: keys([t]))
+
+    @F.pandas_udf(pair)
+    def run_keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: keys(spans(t.split())))
+
+    @F.pandas_udf(CONCEPTS)
+    def annotate(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, hits in parts:
+            yield pd.Series([_finder([(h["cui"], h["str"]) for h in own], stops)(t) for t, own in zip(texts, hits)])
+
+    words = dictionary.dropna(subset=["cui", "str"]).select("cui", "str", F.explode(own_keys("str")).alias("_k"))
+    words = words.groupBy("_k").agg(F.min(F.struct("cui", "str")).alias("_hit"))
+    each = phrases.select(F.col(phrase).alias("_phrase")).dropna().distinct()
+    found = each.select("_phrase", F.explode(run_keys("_phrase")).alias("_k")).join(small_or_shuffled(words), "_k")
+    found = found.groupBy("_phrase").agg(F.collect_set("_hit").alias("_hits")).select("_phrase", annotate("_phrase", "_hits").alias("concepts"))
+    return phrases.join(small_or_shuffled(found), F.col(phrase) == F.col("_phrase")).select(*phrases.columns, "concepts")

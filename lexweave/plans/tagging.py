@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from lexweave.functions import tagging as G
 from lexweave.functions import text as X
 from lexweave.functions.stemmer import porter
+from lexweave.operators import similarity as S
 from lexweave.plans.headings import heads, texts
-from lexweave.session import table
+from lexweave.session import staged, table
 
 
 def dictionary(s, d):
-    """(cui, str): the headings that many articles have, numbered by their order; a dictionary of bounded size."""
-    h = heads(s, d).groupBy("mesh").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mesh").limit(500)
-    return [(i + 1, r[0]) for i, r in enumerate(sorted(h.select("mesh").collect()))]
+    """(cui, str): all distinct headings, numbered from 1 by their order."""
+    h = S.with_ids(heads(s, d).select("mesh").distinct(), "mesh", "i")
+    return h.select((F.col("i") + 1).alias("cui"), F.col("mesh").alias("str"))
 
 
 def titles(s, d):
@@ -22,21 +23,20 @@ def titles(s, d):
 
 
 def trie_phrases(s, d):
-    find = G.trie_phrases([(p, i) for i, p in dictionary(s, d)])
     h = table(s, d, "mesh_heading").filter("mesh is not null").select("pmid", F.split(F.lower(F.trim("mesh")), " ").alias("w"))
-    return h.groupBy("pmid").agg(F.flatten(F.array_sort(F.collect_list("w"))).alias("w")).select("pmid", F.explode(find("w")).alias("phrase_id"))
+    rows = h.groupBy("pmid").agg(F.flatten(F.array_sort(F.collect_list("w"))).alias("w"))
+    words = dictionary(s, d).select(F.col("cui").cast("int").alias("id"), "str")
+    return G.phrases_of(staged(rows, "words"), "pmid", "w", words).select("pmid", F.col("phrase_id").cast("int").alias("phrase_id"))
 
 
 def cascade_match(s, d):
-    words = s.createDataFrame(dictionary(s, d), "cui long, str string")
     phrases = table(s, d, "mesh_heading").filter("mesh is not null").select(F.regexp_replace("mesh", "/", " of ").alias("phrase")).distinct()
-    return G.cascade(phrases, "phrase", words)
+    return G.cascade(phrases, "phrase", dictionary(s, d))
 
 
 def annotated(s, d):
-    tag = G.annotator(dictionary(s, d))
     h = heads(s, d).select("pmid", F.regexp_replace("mesh", "[/ ]", " and ").alias("phrase"))
-    return h.select("pmid", "phrase", F.explode(tag("phrase")).alias("c")).select("pmid", "phrase", "c.matched", "c.cui", "c.score")
+    return G.annotated(h, "phrase", dictionary(s, d)).select("pmid", "phrase", F.explode("concepts").alias("c")).select("pmid", "phrase", "c.matched", "c.cui", "c.score")
 
 
 def stems(s, d):
