@@ -21,9 +21,13 @@ def _doc(expr, name="value"):
 
 
 def tokens(s, d):
-    """Words of the first line: first word decapitalised, marks stripped, empty ones dropped."""
-    first = F.split(F.substring_index("text", "\n", 1), " ", -1)
-    return docs(s, d).select("doc_id", F.array_join(X.strip_marks(X.decapitalise_first(first)), "|").alias("value"))
+    """Words of all sentences: the first word of each decapitalised, marks stripped, empty ones dropped.
+
+    A sentence ends with its line, or with a closing mark before white space.
+    """
+    sentences = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n", -1)
+    words = F.flatten(F.transform(sentences, lambda x: X.strip_marks(X.decapitalise_first(F.split(x, " ", -1)))))
+    return docs(s, d).select("doc_id", F.array_join(words, "|").alias("value"))
 
 
 def json_default(s, d):
