@@ -65,8 +65,8 @@ def heading_rank(spark, sf):
 
 
 def small_postings(spark, sf):
-    """Of each heading of the stated records: its rows, and whether the last seen was major."""
-    rows = small(table(spark, sf, "mesh_heading")).withColumn("mesh", F.nullif(F.lower(F.trim("mesh")), F.lit(""))).dropna(subset=["mesh", "pmid"])
+    """Of each heading of each record: its rows, and whether the last seen was major."""
+    rows = table(spark, sf, "mesh_heading").withColumn("mesh", F.nullif(F.lower(F.trim("mesh")), F.lit(""))).dropna(subset=["mesh", "pmid"])
     major = F.coalesce(F.upper(F.trim("major")) == "Y", F.lit(False))
     return rows.groupBy("pmid", "mesh").agg(F.count(F.lit(1)).alias("n"), F.max_by(major, F.struct("loaded_at", major)).alias("is_topic"))
 
@@ -145,7 +145,7 @@ def overlap_hist(spark, sf):
 
 def report(spark, sf):
     """One line for each of the ten best neighbours of the sources, with title and placeholder texts, in order of rank."""
-    nb = neighbour_rank(spark, sf).filter("src_pmid % 100 = 0 and rank <= 10")
+    nb = neighbour_rank(spark, sf).filter("rank <= 10")
     t = texts(spark, sf).select(F.col("pmid").alias("rel_pmid"), F.coalesce("title", F.lit("no title")).alias("title"), F.length(F.coalesce("abs", F.lit("no abstract"))).alias("len"))
     lines = nb.join(t, "rel_pmid", "left").select("src_pmid", "rank", "rel_pmid", F.concat_ws("\t", "rank", "rel_pmid", F.coalesce("title", F.lit("no title")), F.coalesce("len", F.lit(11))).alias("line"))
     return lines.groupBy("src_pmid").agg(F.array_sort(F.collect_list(F.struct("rank", "rel_pmid", "line"))).alias("l")).select("src_pmid", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))

@@ -126,7 +126,7 @@ def explain_maps(spark, sf):
 
 
 def top_words(spark, sf):
-    words = sources(matrix(spark, sf)).join(table(spark, sf, "vocab").groupBy("term_id").agg(F.min("term").alias("term")), "term_id")
+    words = matrix(spark, sf).join(table(spark, sf, "vocab").groupBy("term_id").agg(F.min("term").alias("term")), "term_id")
     return S.ranked(words, "pmid", "weight", 10, "row_number", "term").select("pmid", "term", "weight", "rank")
 
 

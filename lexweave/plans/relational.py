@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import similarity as S
-from lexweave.plans.headings import heads, quals, small, texts
-from lexweave.plans.matrix import matrix, sources
+from lexweave.plans.headings import heads, quals, texts
+from lexweave.plans.matrix import matrix
 from lexweave.session import small_or_shuffled, table
 
 CHUNK = 50
@@ -20,8 +20,8 @@ def best_scores(s, d):
 
 
 def id_chunks(s, d):
-    """Source ids in order, in chunks of a fixed number."""
-    ids = S.with_ids(sources(matrix(s, d)).select("pmid").distinct(), "pmid", "at")
+    """The ids of the matrix in order, in chunks of a fixed number."""
+    ids = S.with_ids(matrix(s, d).select("pmid").distinct(), "pmid", "at")
     return ids.select("pmid", F.floor(F.col("at") / CHUNK).cast("long").alias("chunk"))
 
 
@@ -35,8 +35,8 @@ def prefer_left(s, d):
 def union_branches(s, d):
     """Distinct texts of the source and related articles of scored pairs, of headings, and of qualifiers."""
     t = texts(s, d).select("pmid", "title")
-    pairs = small(best_scores(s, d).withColumnRenamed("src_pmid", "pmid"))
-    parts = [pairs.select("pmid"), pairs.select(F.col("rel_pmid").alias("pmid")), small(heads(s, d)).select("pmid"), small(quals(s, d)).select("pmid")]
+    pairs = best_scores(s, d)
+    parts = [p.distinct() for p in (pairs.select(F.col("src_pmid").alias("pmid")), pairs.select(F.col("rel_pmid").alias("pmid")), heads(s, d).select("pmid"), quals(s, d).select("pmid"))]
     out = t.join(parts[0], "pmid")
     for p in parts[1:]:
         out = out.union(t.join(p, "pmid"))
@@ -72,7 +72,7 @@ def pair_lookup(s, d):
 def composite(s, d):
     """Scored pairs with their shared headings, joined on both ids."""
     h = heads(s, d)
-    pairs = small(best_scores(s, d).withColumnRenamed("src_pmid", "pmid")).select("pmid", "rel_pmid", "score")
+    pairs = best_scores(s, d).select(F.col("src_pmid").alias("pmid"), "rel_pmid", "score")
     left = pairs.join(h.select("pmid", "mesh"), "pmid")
     shared = left.join(h.select(F.col("pmid").alias("rel_pmid"), "mesh"), ["rel_pmid", "mesh"])
     return shared.groupBy("pmid", "rel_pmid", "score").agg(F.count(F.lit(1)).alias("n_shared"))
