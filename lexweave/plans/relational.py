@@ -19,6 +19,11 @@ def best_scores(s, d):
     return rows.groupBy("src_pmid", "rel_pmid").agg(F.max("score").alias("score"))
 
 
+def by_text_id(s, d):
+    """All scored pairs in the order of the source id as a string, the best of each source first."""
+    return best_scores(s, d).orderBy(F.col("src_pmid").cast("string"), F.desc("score"), "rel_pmid")
+
+
 def id_chunks(s, d):
     """The ids of the matrix in order, in chunks of a fixed number."""
     ids = S.with_ids(matrix(s, d).select("pmid").distinct(), "pmid", "at")
@@ -109,7 +114,8 @@ QUERIES = {
     "self_pairs_out": lambda s, d: S.ranked(best_scores(s, d).filter("src_pmid <> rel_pmid"), "src_pmid", "score", 5).select("src_pmid", "rel_pmid", "score", "rank"),
     "rank_merge": lambda s, d: S.ranked(best_scores(s, d).unionAll(best_scores(s, d).select(F.col("rel_pmid").alias("src_pmid"), F.col("src_pmid").alias("rel_pmid"), "score")).groupBy("src_pmid", "rel_pmid").agg(F.max("score").alias("score")), "src_pmid", "score", 3, "row_number", "rel_pmid"),
     "related_lists": lambda s, d: S.ranked(best_scores(s, d), "src_pmid", "score", 5, "row_number", "rel_pmid").groupBy("src_pmid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rel_pmid"))), lambda x: x["rel_pmid"].cast("string")), ",").alias("related")),
-    "scores_by_text_id": lambda s, d: best_scores(s, d).orderBy(F.col("src_pmid").cast("string"), F.desc("score"), "rel_pmid").limit(1000),
+    "scores_by_text_id": by_text_id,
+    "first_scores": lambda s, d: by_text_id(s, d).limit(1000),
     "order_histogram": lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")),
     "having_total": lambda s, d: table(s, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("c")).filter("c <= 30").agg(F.sum("c").alias("total")),
     "market_segments": lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")),
@@ -144,6 +150,7 @@ def SQL() -> dict[str, str]:
         "rank_merge": f"with {_B}, u as (select src_pmid, rel_pmid, score from b union all select rel_pmid, src_pmid, score from b), m as (select src_pmid, rel_pmid, max(score) score from u group by 1, 2) select *, row_number() over (partition by src_pmid order by score desc, rel_pmid) as rank from m qualify rank <= 3",
         "related_lists": f"with {_B}, r as (select *, row_number() over (partition by src_pmid order by score desc, rel_pmid) k from b qualify k <= 5) select src_pmid, string_agg(rel_pmid, ',' order by k) related from r group by 1",
         "scores_by_text_id": f"with {_B} select * from b order by cast(src_pmid as varchar), score desc, rel_pmid limit 1000",
+        "first_scores": f"with {_B} select * from b order by cast(src_pmid as varchar), score desc, rel_pmid limit 1000",
         "order_histogram": "select c, count(*) n from (select o_custkey, count(*) c from orders group by 1) group by 1",
         "having_total": "select cast(sum(c) as bigint) total from (select l_partkey, count(*) c from lineitem group by 1 having c <= 30)",
         "market_segments": "select c_mktsegment, l_returnflag, count(*) n, round(sum(l_quantity), 2) qty from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2",

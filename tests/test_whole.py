@@ -25,3 +25,11 @@ def test_all_ids(spark, sf, name):
     want = sql_rows(sf, re.sub(r"(\w+) % 100 = 0", r"\1 is not null", entry.oracle_sql()[name]))
     got = entry.queries()[name](spark, sf).toPandas()
     assert len(got) and frame(got).equals(frame(want))
+
+
+def test_scores_are_all_there_in_order(spark, sf):
+    sql = entry.oracle_sql()["first_scores"]
+    want = [tuple(r) for r in sql_rows(sf, sql.removesuffix(" limit 1000")).itertuples(index=False)]
+    got = [tuple(r) for r in entry.queries()["scores_by_text_id"](spark, sf).collect()]
+    assert len(got) > 1000 and got == want
+    assert [tuple(r) for r in entry.queries()["first_scores"](spark, sf).collect()] == want[:1000]
