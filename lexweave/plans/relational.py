@@ -12,6 +12,8 @@ from lexweave.plans.matrix import matrix
 from lexweave.session import small_or_shuffled, table
 
 CHUNK = 50
+#: Rows that the scan before an exclusion takes at most, as in the reference.
+LIMIT = 5_000_000
 
 
 def best_scores(s, d):
@@ -84,8 +86,11 @@ def composite(s, d):
 
 
 def exclude_known(s, d):
-    """Non-empty abstracts in order of id, without the articles that have headings; the limit comes first."""
-    rows = texts(s, d).filter("abs is not null and abs <> ''").orderBy("pmid").limit(1000)
+    """The first LIMIT non-empty abstracts in order of id, without the articles that have headings; the limit comes first.
+
+    They are numbered in ranges, as a limit so large would gather all rows in one task.
+    """
+    rows = S.with_ids(texts(s, d).filter("abs is not null and abs <> ''").select("pmid", "title"), "pmid", "at").filter(F.col("at") < LIMIT)
     return rows.select("pmid", "title").join(small_or_shuffled(heads(s, d).select("pmid").distinct()), "pmid", "left_anti")
 
 

@@ -33,3 +33,22 @@ def test_scores_are_all_there_in_order(spark, sf):
     got = [tuple(r) for r in entry.queries()["scores_by_text_id"](spark, sf).collect()]
     assert len(got) > 1000 and got == want
     assert [tuple(r) for r in entry.queries()["first_scores"](spark, sf).collect()] == want[:1000]
+
+
+def test_exclusion_looks_at_all_articles(spark, tmp_path):
+    """The articles without headings come after more others than the limit once was."""
+    n = 1200
+    texts = spark.range(n).selectExpr("cast(id as int) pmid", "concat('t', id) title", "if(id % 300 = 7, '', 'abs') abs", "timestamp'2020-01-01' loaded_at")
+    texts.write.parquet(str(tmp_path / "abstracts.parquet"))
+    spark.range(n - 5).selectExpr("cast(id as int) pmid", "'m' mesh", "'N' major", "timestamp'2020-01-01' loaded_at").write.parquet(str(tmp_path / "mesh_heading.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["exclude_known"](spark, str(tmp_path)).collect())
+    assert got == [(i, f"t{i}") for i in range(n - 5, n)]
+
+
+def test_exclusion_keeps_the_limit_first(spark, tmp_path, monkeypatch):
+    from lexweave.plans import relational
+
+    spark.sql("select id pmid, concat('t', id) title, 'x' abs, timestamp'2020-01-01' loaded_at from range(9)").write.parquet(str(tmp_path / "abstracts.parquet"))
+    spark.sql("select 1L pmid, 'm' mesh, 'N' major, timestamp'2020-01-01' loaded_at").write.parquet(str(tmp_path / "mesh_heading.parquet"))
+    monkeypatch.setattr(relational, "LIMIT", 3)
+    assert sorted(r.pmid for r in relational.exclude_known(spark, str(tmp_path)).collect()) == [0, 2]
