@@ -74,11 +74,11 @@ def double_tab_lines(s, d):
 
 
 def chunked(s, d):
-    """Scores written in folders by chunk, and read as one table; the chunk prunes folders."""
+    """Scores written in folders by chunk, and read as one table; a filter on the chunk would prune folders."""
     path = stage_path(s, "chunks")
     rows = table(s, d, "pp_score").filter("score is not null and not isnan(score)").groupBy("src_pmid", "rel_pmid").agg(F.max("score").alias("score"))
     W.chunked(rows.withColumn("chunk", F.col("src_pmid") % 8), path)
-    return s.read.parquet(path).filter("chunk <> 3").select("src_pmid", "rel_pmid", "score", "chunk")
+    return s.read.parquet(path).select("src_pmid", "rel_pmid", "score", "chunk")
 
 
 def dictionary_file(s, d):

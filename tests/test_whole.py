@@ -52,3 +52,14 @@ def test_exclusion_keeps_the_limit_first(spark, tmp_path, monkeypatch):
     spark.sql("select 1L pmid, 'm' mesh, 'N' major, timestamp'2020-01-01' loaded_at").write.parquet(str(tmp_path / "mesh_heading.parquet"))
     monkeypatch.setattr(relational, "LIMIT", 3)
     assert sorted(r.pmid for r in relational.exclude_known(spark, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_all_chunks_are_read_and_folders_can_be_pruned(spark, tmp_path):
+    rows = [(s, r, float(r)) for s in range(16) for r in range(3)] + [(3, 0, float("nan")), (3, 1, None)]
+    spark.createDataFrame(rows, "src_pmid int, rel_pmid int, score double").write.parquet(str(tmp_path / "pp_score.parquet"))
+    df = entry.queries()["chunked_scores"](spark, str(tmp_path))
+    got = sorted((r.src_pmid, r.rel_pmid, r.score, r.chunk) for r in df.collect())
+    assert got == [(s, r, float(r), s % 8) for s in range(16) for r in range(3)]
+    pruned = df.filter("chunk <> 3")
+    assert {r.chunk for r in pruned.collect()} == set(range(8)) - {3}
+    assert "PartitionFilters: [isnotnull(chunk" in pruned._jdf.queryExecution().toString()
