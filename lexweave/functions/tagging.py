@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import analysed_phrase, normalize_phrase, sort_words, stop_words
+from lexweave.functions.text import STOP_WORDS, analysed_phrase, normalize_phrase, sort_words
 from lexweave.session import small_or_shuffled
 
 #: Levels of the cascade and what an exact hit on each is worth.
@@ -189,7 +189,7 @@ def annotator(entries: list[tuple[int, str]]):
     whose words have all been matched before. Each concept counts once, as first found. The entries (cui, str) are a
     bounded dictionary; annotated() takes one of any size.
     """
-    concepts = _finder(entries, set(stop_words()))
+    concepts = _finder(entries, set(STOP_WORDS))
 
     @F.pandas_udf(CONCEPTS)
     def annotate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -205,7 +205,7 @@ def annotated(phrases: DataFrame, phrase: str, dictionary: DataFrame) -> DataFra
     The keys of the word runs of each distinct phrase are joined with the keys of the dictionary, and each phrase is
     annotated from the entries that it hits, which are all that can be found in it.
     """
-    stops = set(stop_words())
+    stops = set(STOP_WORDS)
     pair = "array<struct<level:int,key:string>>"
     keys = lambda texts: [{"level": i, "key": k} for i, k in {(i, k) for t in texts for i, k in enumerate(_forms(t, stops)) if k}]
     spans = lambda ws: (" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1))

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +9,16 @@ from pyspark.sql import functions as F
 MARKS = "{}[]()\"'<>,.:;!?"
 OPEN_SECTION = r"<AbstractText\s.+?>"
 CLOSE_SECTION = "</AbstractText>"
+# The default English stop words of Spark's ML library.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t "
+    "can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've "
+    "we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't "
+    "cannot could here's how's let's ought that's there's what's when's where's who's why's would"
+).split()
 
 
 def strip_sections(text: Column) -> Column:
@@ -63,16 +68,8 @@ def sort_words(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ", -1)), " ")
 
 
-@cache
-def stop_words() -> list[str]:
-    """The default English list of Spark's ML library, read from its archive, so that no session is needed."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 def drop_stop_words(words: Column) -> Column:
-    return F.filter(words, lambda w: ~w.isin(stop_words()))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
 def analysed_phrase(text: Column) -> Column:

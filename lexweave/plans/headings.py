@@ -266,7 +266,7 @@ SQL = {
     "main_topics": f"with {_POSTS} select mesh, pmid, cnt from posts where major",
     "concept_df": f"with {_POSTS} select mesh, count(*) df, count(*) filter (cnt > 0) df_positive from posts group by mesh",
     "posting_maps": f"with {_POSTS} select pmid, cast(count(*) as int) n, cast(sum(cnt) as bigint) cnt, max(mesh) as last from posts group by pmid",
-    "small_postings": "select pmid, lower(trim(mesh, ' ')) mesh, count(*) n, arg_max(coalesce(upper(trim(major, ' ')) = 'Y', false), (loaded_at, coalesce(upper(trim(major, ' ')) = 'Y', false))) is_topic from mesh_heading where pmid % 100 = 0 and nullif(trim(mesh, ' '), '') is not null group by 1, 2",
+    "small_postings": "select pmid, lower(trim(mesh, ' ')) mesh, count(*) n, arg_max(coalesce(upper(trim(major, ' ')) = 'Y', false), (loaded_at, coalesce(upper(trim(major, ' ')) = 'Y', false))) is_topic from mesh_heading where pmid is not null and nullif(trim(mesh, ' '), '') is not null group by 1, 2",
     "topic_test": f"with {_HEADS}, {_POSTS} select mesh, pmid, exists (select 1 from heads h where h.pmid = p.pmid and h.mesh in (p.mesh, array_to_string(list_sort(string_split(p.mesh, ' ')), ' '), p.mesh || 's')) is_topic from posts p",
     "synonym_count": f"with {_HITS} select * from hits",
     "posting_list": f"with {_HITS} select mesh, pmid, major, cast(sum(n) as bigint) n from hits group by all",
@@ -277,6 +277,6 @@ SQL = {
     "neighbor_overlap": f"with {_RES} {_OVER.format('left')}",
     "neighbor_overlap_inner": f"with {_RES} {_OVER.format('inner')}",
     "neighbor_overlap_hist": f"with {_RES}, o as ({_OVER.format('left')}) select n_common, count(*) n_sources from o group by 1",
-    "report_text": f"with {_NB}, {_CUR}, l as (select src_pmid, r, rel_pmid, concat_ws(chr(9), r, rel_pmid, coalesce(title, 'no title'), length(coalesce(abs, 'no abstract'))) line from nbr left join cur on cur.pmid = rel_pmid where src_pmid % 100 = 0 and r <= 10) select src_pmid, string_agg(line, chr(10) order by r, rel_pmid, line) as text from l group by 1",
+    "report_text": f"with {_NB}, {_CUR}, l as (select src_pmid, r, rel_pmid, concat_ws(chr(9), r, rel_pmid, coalesce(title, 'no title'), length(coalesce(abs, 'no abstract'))) line from nbr left join cur on cur.pmid = rel_pmid where r <= 10) select src_pmid, string_agg(line, chr(10) order by r, rel_pmid, line) as text from l group by 1",
     "report_terms": f"with {_PROD}, pairs as (select src, rel, row_number() over (partition by src order by units desc, rel) r from prod where src <> rel qualify r <= 5), v as (select term_id, min(term) term from vocab group by 1), t as (select p.src, p.rel, r, term, cast(round(a.weight * 1000000) as bigint) * cast(round(b.weight * 1000000) as bigint) u from pairs p join mat a on a.pmid = p.src join mat b on b.pmid = p.rel and b.term_id = a.term_id join v on v.term_id = a.term_id) select src, rel, r as rank, string_agg(term, ' ' order by u desc, term) terms from t group by all",
 }

@@ -232,7 +232,7 @@ def _words_sql(col: str) -> str:
 
 
 def _sql() -> dict[str, str]:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in X.stop_words())
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
     rank = lambda fn, where="true", k=K: f"with {_PROD} select src, rel, {_SCORE} score, r as rank from (select *, {fn} r from prod where {where}) where r <= {k}"
     return {
         "term_freq": f"with {_TF} select * from tf",
@@ -256,7 +256,7 @@ def _sql() -> dict[str, str]:
         "product_with_zeros": f"with {_PROD}, d as (select distinct pmid from mat), x as (select s.pmid src, d.pmid rel from (select distinct pmid from src) s, d) select src, count(*) n_rel, count(*) filter (coalesce(units, 0) = 0) n_zero, cast(sum(coalesce(units, 0)) as bigint) units from x left join prod using (src, rel) group by src",
         "explain_pairs": f"with {_EXPL} select src, rel, term_id, (select min(term) from vocab v where v.term_id = ex.term_id) term, src_weight, rel_weight, {_SCORE} score from ex",
         "explain_maps": f"with {_EXPL} select src, rel, cast(count(*) as int) n_terms, cast(sum(units) as bigint) units from ex group by all",
-        "top_words": f"with {_MAT}, v as (select term_id, min(term) term from vocab group by all) select pmid, term, weight, row_number() over (partition by pmid order by weight desc, term) as rank from mat join v using (term_id) where pmid % 100 = 0 qualify rank <= 10",
+        "top_words": f"with {_MAT}, v as (select term_id, min(term) term from vocab group by all) select pmid, term, weight, row_number() over (partition by pmid order by weight desc, term) as rank from mat join v using (term_id) qualify rank <= 10",
         "matrix_prune": f"with {_MAT} select * from mat where weight > 0.5 and term_id not in (select term_id from mat group by term_id having count(*) >= 400)",
         "df_ceiling_semi": f"with {_MAT} select * from mat where term_id in (select term_id from mat group by term_id having count(*) <= {CEILING})",
         "df_ceiling_total": f"with {_MAT} select cast(sum(c) as bigint) n_rows, count(*) n_terms from (select term_id, count(*) c from mat group by 1 having c <= {CEILING})",

@@ -18,4 +18,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    """Text only: it is built without a session and reads nothing of the Spark installation."""
     return _all("SQL")

@@ -135,9 +135,9 @@ def SQL() -> dict[str, str]:
     from lexweave.plans.headings import _CUR, _HEADS, _QUALS
 
     return {
-        "chunk_ids": f"with {_MAT} select pmid, (row_number() over (order by pmid) - 1) // {CHUNK} chunk from (select distinct pmid from mat where pmid % 100 = 0)",
+        "chunk_ids": f"with {_MAT} select pmid, (row_number() over (order by pmid) - 1) // {CHUNK} chunk from (select distinct pmid from mat)",
         "prefer_left_union": f"with {_HEADS}, {_QUALS} select pmid, mesh as value from heads union all select pmid, descriptor_name from quals where pmid not in (select pmid from heads)",
-        "union_branches": f"with {_CUR}, {_B}, {_HEADS}, {_QUALS} select distinct pmid, title from cur where pmid in (select src_pmid from b where src_pmid % 100 = 0 union all select rel_pmid from b where src_pmid % 100 = 0 union all select pmid from heads where pmid % 100 = 0 union all select pmid from quals where pmid % 100 = 0)",
+        "union_branches": f"with {_CUR}, {_B}, {_HEADS}, {_QUALS} select distinct pmid, title from cur where pmid in (select src_pmid from b union all select rel_pmid from b union all select pmid from heads union all select pmid from quals)",
         "union_distinct_ids": f"with {_B} select src_pmid pmid from b union select rel_pmid from b",
         "id_difference": f"with {_HEADS}, {_QUALS} select pmid from heads except select pmid from quals",
         "anti_by_null": f"with {_HEADS}, {_QUALS} select distinct pmid from heads where pmid not in (select pmid from quals)",
@@ -146,15 +146,15 @@ def SQL() -> dict[str, str]:
         "left_fill": f"with {_HEADS}, {_QUALS}, h as (select pmid, count(*) n_head from heads group by 1), q as (select pmid, count(*) n_qual from quals group by 1) select pmid, n_head, coalesce(n_qual, 0) n_qual, n_head + coalesce(n_qual, 0) n from h left join q using (pmid)",
         "three_table_join": f"with {_CUR}, {_HEADS}, p as (select lower(trim(mesh, ' ')) mesh, pmid, max(cnt) cnt from posting_list group by 1, 2) select pmid, mesh, cast(length(abs) as int) n, major, cnt from cur join heads using (pmid) join p using (pmid, mesh) where abs is not null",
         "pair_lookup": f"with {_B} select a.src_pmid, a.rel_pmid, a.score, c.score back from b a join b c on a.src_pmid = c.rel_pmid and a.rel_pmid = c.src_pmid",
-        "composite_join": f"with {_B}, {_HEADS} select b.src_pmid pmid, b.rel_pmid, score, count(*) n_shared from b join heads x on x.pmid = src_pmid join heads y on y.pmid = rel_pmid and x.mesh = y.mesh where src_pmid % 100 = 0 group by all",
-        "exclude_known": f"with {_CUR}, {_HEADS}, l as (select * from cur where abs is not null and abs <> '' order by pmid limit 1000) select pmid, title from l where pmid not in (select pmid from heads)",
+        "composite_join": f"with {_B}, {_HEADS} select b.src_pmid pmid, b.rel_pmid, score, count(*) n_shared from b join heads x on x.pmid = src_pmid join heads y on y.pmid = rel_pmid and x.mesh = y.mesh group by all",
+        "exclude_known": f"with {_CUR}, {_HEADS}, l as (select * from cur where abs is not null and abs <> '' order by pmid limit {LIMIT}) select pmid, title from l where pmid not in (select pmid from heads)",
         "qualifier_flags": "select pmid, descriptor_name, qualifier_name, qualifier_name_major_yn = 'Y' major from qualifier where qualifier_name_major_yn in ('Y', 'N')",
         "in_list": "select doc_id, source from documents where source in ('labnotes', 'fieldlog')",
         "nan_filter": "select src_pmid, count(*) n from pp_score where score is not null and not isnan(score) group by 1",
         "self_pairs_out": f"with {_B} select *, rank() over (partition by src_pmid order by score desc) as rank from b where src_pmid <> rel_pmid qualify rank <= 5",
         "rank_merge": f"with {_B}, u as (select src_pmid, rel_pmid, score from b union all select rel_pmid, src_pmid, score from b), m as (select src_pmid, rel_pmid, max(score) score from u group by 1, 2) select *, row_number() over (partition by src_pmid order by score desc, rel_pmid) as rank from m qualify rank <= 3",
         "related_lists": f"with {_B}, r as (select *, row_number() over (partition by src_pmid order by score desc, rel_pmid) k from b qualify k <= 5) select src_pmid, string_agg(rel_pmid, ',' order by k) related from r group by 1",
-        "scores_by_text_id": f"with {_B} select * from b order by cast(src_pmid as varchar), score desc, rel_pmid limit 1000",
+        "scores_by_text_id": f"with {_B} select * from b order by cast(src_pmid as varchar), score desc, rel_pmid",
         "first_scores": f"with {_B} select * from b order by cast(src_pmid as varchar), score desc, rel_pmid limit 1000",
         "order_histogram": "select c, count(*) n from (select o_custkey, count(*) c from orders group by 1) group by 1",
         "having_total": "select cast(sum(c) as bigint) total from (select l_partkey, count(*) c from lineitem group by 1 having c <= 30)",

@@ -159,7 +159,7 @@ def SQL() -> dict[str, str]:
         "posting_lines_parse": six,
         "doc_lines_parse": six,
         "double_tab_lines": six,
-        "chunked_scores": "select src_pmid, rel_pmid, max(score) score, src_pmid % 8 chunk from pp_score where score is not null and not isnan(score) and src_pmid % 8 <> 3 group by 1, 2",
+        "chunked_scores": "select src_pmid, rel_pmid, max(score) score, src_pmid % 8 chunk from pp_score where score is not null and not isnan(score) group by 1, 2",
         "dictionary_file": f"with {_HEADS} select distinct md5(mesh) cui, mesh str from heads",
         "json_articles": f"with {_CUR} select pmid, coalesce(nullif(title, ''), 'no title') title, coalesce(nullif(abs, ''), 'no abstract') abstract from cur",
         "xml_parse": f"with {_CUR}, {_HEADS}, h as (select pmid, string_agg(mesh, '|' order by mesh) headings from heads group by 1) select pmid, trim(title) title, headings from cur join h using (pmid) where title is not null",

@@ -77,10 +77,9 @@ _PUNCT = r"[!-/:-@\[-`{-~]"
 
 
 def SQL() -> dict[str, str]:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in X.stop_words())
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
     cut = "regexp_replace(text, ' +$', '')"
     marks = X.MARKS.replace("'", "''")
-    first = "string_split(string_split(text, chr(10))[1], ' ')"
     low = "case when length(w[1]) = 1 or substr(w[1], 2) = lower(substr(w[1], 2)) then lower(w[1]) else w[1] end"
     return {
         "markup_strip": _A.format(r"replace(regexp_replace(abs, '<AbstractText\s.+?>', '', 'g'), '</AbstractText>', '')"),
@@ -94,7 +93,7 @@ def SQL() -> dict[str, str]:
         "normalize_phrase": _T.format(rf"regexp_replace(regexp_replace(lower(text), '{_PUNCT}', ' ', 'g'), '\s+', ' ', 'g')"),
         "sort_words": _A.format("array_to_string(list_sort(string_split(title, ' ')), ' ')"),
         "analysed_phrase": _A.format(f"array_to_string(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: w not in ({stop})), ' ')"),
-        "first_line_tokens": f"with l as (select doc_id, {first} w from documents), f as (select doc_id, [{low}] || w[2:] w from l) select doc_id, array_to_string(list_filter(list_transform(w, lambda x: trim(x, '{marks}')), lambda x: x <> ''), '|') as value from f",
+        "first_line_tokens": rf"with s as (select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) s from documents), w as (select doc_id, unnest(range(len(s))) i, string_split(unnest(s), ' ') w from s), f as (select doc_id, i, [{low}] || w[2:] w from w), k as (select doc_id, i, list_filter(list_transform(w, lambda x: trim(x, '{marks}')), lambda x: x <> '') w from f) select doc_id, array_to_string(flatten(list(w order by i)), '|') as value from k group by doc_id",
         "strip_balanced": r"with w as (select doc_id, regexp_split_to_array(text, '\s+') w from documents), u as (select doc_id, unnest(w) w, unnest(range(len(w))) i from w) select doc_id, cast(i as int) i, case when length(w) >= 2 and (w[1] || w[-1]) in ('()', '[]', '{}', '""', '''''') then w[2:length(w)-1] else w end as value from u",
         "ngrams": _A.format("array_to_string(list_transform(range(1, len(string_split(title, ' ')) - 1), lambda i: array_to_string(string_split(title, ' ')[i:i+2], ' ')), '|')"),
         "yes_no": "select mesh, count(*) filter (major = 'Y') n_major from mesh_heading where major in ('Y', 'N') group by mesh",
