@@ -47,3 +47,16 @@ def test_empty_and_odd_tables(spark, empty_sf, odd_sf, sf):
     assert Q.p7_found(spark, empty_sf).count() == 0
     plain, odd = (sorted(tuple(r) for r in Q.p7_top(spark, d).collect()) for d in (sf, odd_sf))
     assert plain == odd
+
+
+def test_a_kept_copy_is_asked_again(spark):
+    data = [(g, i, float(i * 7 % 1000)) for g in range(3) for i in range(1000 if g else 3000)]
+    path = Q.clustered(spark.createDataFrame(data, "g int, i int, s double"), "g", "i", "s", 10_000, 100)
+    for n in (1, 10):
+        got = Q.best_of(spark, path, n).collect()
+        assert {(r.g, r.i, r.s) for r in got} == brute(data, n)
+        assert all(r.n_read < r.n_groups for r in got)
+
+
+def test_the_copy_of_a_table_is_kept(spark, sf):
+    assert Q._scores(spark, sf) == Q._scores(spark, sf)
