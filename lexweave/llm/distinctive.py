@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexweave.llm.frequency import SQL_CURRENT
 from lexweave.llm.terms import TERM, trie_counts
 from lexweave.operators.current import current_rows
-from lexweave.session import staged, table
+from lexweave.session import small_or_shuffled, staged, table
 
 #: Terms this close to one another co-occur: each is linked with the next WINDOW - 1.
 WINDOW = 3
@@ -23,6 +23,8 @@ VOCABULARY = 1_000_000
 #: most (mean terms of a record) / HOT_SHARE of them.
 HOT_SHARE = 0.001
 MARGIN = 1.7
+#: Most neighbours that one occurrence of a term adds.
+NEIGHBOURS = 2 * (WINDOW - 1)
 
 NODES = "_key long, term string, occurrences long, degree long"
 SCORED = NODES + ", graph_weight double, tf_idf double"
@@ -58,6 +60,31 @@ def _graph(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray,
     return node // wide, node % wide, occurrences, degree, list(other)
 
 
+def _next_best(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each node the highest value among the other nodes of its text; minus infinity where it is alone. Nodes are in order of text."""
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    of = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
+    top = np.maximum.reduceat(values, start)
+    first = np.full(len(start), len(doc))
+    np.minimum.at(first, of[values == top[of]], np.flatnonzero(values == top[of]))
+    rest = values.copy()
+    rest[first] = -np.inf
+    out = top[of]
+    out[first] = np.maximum.reduceat(rest, start)
+    return out
+
+
+def _standing_out(doc: np.ndarray, graph: np.ndarray, tf_idf: np.ndarray, margin: float) -> np.ndarray:
+    """The nodes whose tf_idf is more than `margin` times that of every other node of their text.
+
+    The graph selects: a term has at most NEIGHBOURS neighbours for each of its occurrences, so every other term's tf_idf is
+    at least its graph weight / NEIGHBOURS, and a node that doesn't exceed `margin` times that can't stand out. Of the
+    nodes that are left, the exact scores decide.
+    """
+    left = np.flatnonzero(tf_idf * NEIGHBOURS * (1 + 1e-9) > margin * _next_best(doc, graph))
+    return left[tf_idf[left] > margin * _next_best(doc, tf_idf)[left]]
+
+
 def _weighted(shared, margin: float | None):
     """Graph and term weights of every text, with the vocabulary at hand; with a margin, only terms that exceed it."""
 
@@ -74,14 +101,7 @@ def _weighted(shared, margin: float | None):
             graph = degree * idf[code]
             keep = np.arange(len(doc))
             if margin is not None:
-                start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                of = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
-                top = np.maximum.reduceat(tf_idf, start)
-                first = np.full(len(start), len(doc))
-                np.minimum.at(first, of[tf_idf == top[of]], np.flatnonzero(tf_idf == top[of]))
-                rest = tf_idf.copy()
-                rest[first] = -np.inf
-                keep = first[top > margin * np.maximum.reduceat(rest, start)]
+                keep = _standing_out(doc, graph, tf_idf, margin)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[doc[keep]]), pa.array([vocabulary[c] if c < len(vocabulary) else other[c - len(vocabulary)] for c in code[keep].tolist()], pa.string()), pa.array(occurrences[keep]), pa.array(degree[keep]), pa.array(graph[keep]), pa.array(tf_idf[keep])],
                 names=["_key", "term", "occurrences", "degree", "graph_weight", "tf_idf"],
@@ -106,7 +126,8 @@ def distinctive_terms(df: DataFrame, key: str, text: str, margin: float | None =
     The terms of a record form a graph: distinct terms that stand within WINDOW of one another are linked. graph_weight
     is the number of a term's distinct neighbours times its rarity ln(N / records with the term), N being the records
     that have a term; tf_idf has the occurrences in place of the neighbours. With `margin`, only the term of each record
-    whose tf_idf is more than `margin` times that of every other comes out; a record's only term always does.
+    whose tf_idf is more than `margin` times that of every other comes out; a record's only term always does. The graph weights
+    preselect it, and the exact scores decide.
 
     Null and empty texts have no terms. Rarity comes from all records. Up to `vocabulary` terms of several records are sent
     to the workers; more are joined, the few hot ones by broadcast and the rest by a shuffle.
@@ -117,8 +138,9 @@ def distinctive_terms(df: DataFrame, key: str, text: str, margin: float | None =
     counts = staged(counts.select("term", "records"), "terms")
     several = counts.filter("records > 1")
     if several.count() <= vocabulary:
-        known = several.toPandas()
-        shared = spark.sparkContext.broadcast((known["term"].tolist(), np.log(total / known["records"].to_numpy(np.float64)), float(np.log(max(total, 1)))))
+        known = several.select("term", F.log(F.lit(float(total)) / F.col("records")).alias("rarity")).toPandas()
+        once = spark.range(1).select(F.log(F.lit(float(max(total, 1))))).first()[0]
+        shared = spark.sparkContext.broadcast((known["term"].tolist(), known["rarity"].to_numpy(np.float64), once))
         return rows.mapInArrow(_weighted(shared, margin), SCORED)
     nodes = rows.mapInArrow(_nodes, NODES)
     hot = counts.filter(F.col("records") > F.lit(HOT_SHARE * total))
@@ -150,11 +172,13 @@ def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(term_id, pmid, weight, rarity, score): the vocabulary terms of term_doc_weight; score is weight times rarity.
+    """(term_id, pmid, weight, degree, rarity, score, graph_score): the vocabulary terms of term_doc_weight.
 
-    Of several weights of a pair the highest counts. Null and NaN weights are left out. rarity is ln(N / articles with the
-    term) over the articles that have a weight. The articles of a term are counted before they are joined, and terms of
-    more than HOT_SHARE of all pairs, of which there are at most 1 / HOT_SHARE, are joined by broadcast.
+    rarity is ln(N / articles with the term) over the articles that have a weight, score is weight times rarity, graph_score is
+    the term's distinct neighbours in the graph of the article's current abstract times rarity, 0 if it doesn't stand there.
+    Of several weights of a pair the highest counts. Null and NaN weights are left out; of several terms with an id the
+    first counts. The articles of a term are counted before they are joined, and terms of more than HOT_SHARE of all pairs,
+    of which there are at most 1 / HOT_SHARE, are joined by broadcast.
     """
     w = table(spark, sf_dir, "term_doc_weight").filter("term_id is not null and pmid is not null and weight is not null and not isnan(weight)")
     pairs = w.groupBy("term_id", "pmid").agg(F.max("weight").alias("weight"))
@@ -164,8 +188,14 @@ def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     cold = per_term.filter(F.col("n") <= F.lit(HOT_SHARE * n_pairs))
     tagged = pairs.join(F.broadcast(hot.withColumnRenamed("n", "_hot")), "term_id", "left")
     joined = tagged.filter("_hot is not null").withColumnRenamed("_hot", "n").unionByName(tagged.filter("_hot is null").drop("_hot").join(cold, "term_id"))
+    vocab = table(spark, sf_dir, "vocab").filter("term_id is not null and term is not null").groupBy("term_id").agg(F.min("term").alias("term"))
+    texts = _current(spark, sf_dir).select(F.col("pmid").cast("long").alias("_key"), F.col("abs").alias("_text")).filter("_text is not null")
+    nodes = texts.mapInArrow(_nodes, NODES).join(small_or_shuffled(vocab), "term").select("term_id", F.col("_key").cast("int").alias("pmid"), "degree")
+    joined = joined.join(nodes, ["term_id", "pmid"], "left").fillna(0, ["degree"])
     rarity = F.log(F.lit(float(total)) / F.col("n"))
-    return joined.select("term_id", "pmid", "weight", F.round(rarity, 6).alias("rarity"), F.round(F.col("weight") * rarity, 6).alias("score"))
+    return joined.select(
+        "term_id", "pmid", "weight", "degree", F.round(rarity, 6).alias("rarity"), F.round(F.col("weight") * rarity, 6).alias("score"), F.round(F.col("degree") * rarity, 6).alias("graph_score")
+    )
 
 
 _SCORED_SQL = f"""
@@ -176,21 +206,28 @@ c as (select pmid, term, count(*) occurrences from t group by all),
 d as (select term, count(*) df from c group by term),
 s as (select pmid, term, occurrences * ln((select n from n) / df) score from c join d using (term))
 """
+_EDGES_SQL = f"""
+cur as ({SQL_CURRENT}),
+l as (select pmid, regexp_extract_all(lower(abs), '[a-z0-9]{{2,}}') ws from cur),
+t as (select pmid, unnest(ws) term, unnest(range(len(ws))) i from l),
+e as (select a.pmid, a.term, count(distinct b.term) degree from t a join t b on a.pmid = b.pmid and abs(a.i - b.i) between 1 and {WINDOW - 1} and a.term <> b.term group by all)
+"""
 QUERIES = {"p5_found": p5_found, "p5_terms": p5_terms, "p5_weights": p5_weights}
 SQL = {
     "p5_found": _SCORED_SQL + f"select pmid, term from (select *, lead(score) over w nxt, row_number() over w r from s window w as (partition by pmid order by score desc, term)) where r = 1 and (nxt is null or score > {MARGIN} * nxt)",
     "p5_terms": f"""
-with cur as ({SQL_CURRENT}),
-l as (select pmid, regexp_extract_all(lower(abs), '[a-z0-9]{{2,}}') ws from cur),
-t as (select pmid, unnest(ws) term, unnest(range(len(ws))) i from l),
+with {_EDGES_SQL},
 n as (select count(distinct pmid) n from t),
 c as (select pmid, term, count(*) occurrences from t group by all),
-d as (select term, count(*) df from c group by term),
-e as (select a.pmid, a.term, count(distinct b.term) degree from t a join t b on a.pmid = b.pmid and abs(a.i - b.i) between 1 and {WINDOW - 1} and a.term <> b.term group by all)
+d as (select term, count(*) df from c group by term)
 select pmid, term, occurrences, coalesce(degree, 0) degree, round(coalesce(degree, 0) * ln((select n from n) / df), 6) graph_weight, round(occurrences * ln((select n from n) / df), 6) tf_idf
 from c join d using (term) left join e using (pmid, term)""",
-    "p5_weights": """
-with p as (select term_id, pmid, max(weight) weight from term_doc_weight where term_id is not null and pmid is not null and weight is not null and not isnan(weight) group by all),
-c as (select term_id, count(*) n from p group by all)
-select term_id, pmid, weight, round(ln((select count(distinct pmid) from p) / n), 6) rarity, round(weight * ln((select count(distinct pmid) from p) / n), 6) score from p join c using (term_id)""",
+    "p5_weights": f"""
+with {_EDGES_SQL},
+p as (select term_id, pmid, max(weight) weight from term_doc_weight where term_id is not null and pmid is not null and weight is not null and not isnan(weight) group by all),
+c as (select term_id, count(*) n from p group by all),
+v as (select term_id, min(term) term from vocab where term_id is not null and term is not null group by all),
+g as (select term_id, pmid, degree from e join v using (term)),
+s as (select term_id, pmid, weight, coalesce(degree, 0) degree, ln((select count(distinct pmid) from p) / n) r from p join c using (term_id) left join g using (term_id, pmid))
+select term_id, pmid, weight, degree, round(r, 6) rarity, round(weight * r, 6) score, round(degree * r, 6) graph_score from s""",
 }

@@ -15,8 +15,10 @@ from lexweave.session import staged
 TERM = re.compile(r"[a-z0-9]{2,}")
 #: Distinct terms that a container holds before it bursts into one container for each next character.
 CAPACITY = 2048
-#: Longest routing prefix. With an alphabet of a few dozen characters it bounds the routes, whatever the data's size.
-DEPTH = 4
+#: Longest routing prefix; prefixes are as long as the terms need.
+DEPTH = 64
+#: Most routes that the driver gathers to align the tries of different workers. If there are more, terms are merged one by one.
+ROUTES = 200_000
 #: Distinct terms a worker holds before it hands its trie on and begins another.
 HELD = 400_000
 
@@ -136,10 +138,11 @@ def _counted(capacity: int, depth: int):
     return run
 
 
-def _split(inner: set[str]):
+def _split(shared):
     """Moves the entries of a container down to where some worker's trie had burst, so that equal subtrees meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner = shared.value
         for batch in batches:
             out: dict[str, list] = {}
             for route, suffixes, occ, rec in zip(*(c.to_pylist() for c in batch.columns)):
@@ -171,7 +174,7 @@ def _split(inner: set[str]):
 
 
 def trie_counts(
-    df: DataFrame, text: str | None = None, term: str | None = None, n: str | None = None, r: str | None = None, capacity: int = CAPACITY, depth: int = DEPTH
+    df: DataFrame, text: str | None = None, term: str | None = None, n: str | None = None, r: str | None = None, capacity: int = CAPACITY, depth: int = DEPTH, limit: int = ROUTES
 ) -> tuple[DataFrame, int | None]:
     """Occurrences and records of every distinct term, and the number of records that have a term.
 
@@ -182,7 +185,8 @@ def trie_counts(
     Every worker counts into a burst trie: adaptive prefixes lead to containers of suffixes, and a container that grows
     past `capacity` bursts. Containers are sent as one row each. Where one worker's trie had burst and another's had not,
     the entries of the second are first moved down, so that matching subtrees have equal routes; these are then merged by
-    route. The routes are at most `depth` characters long, so that what the driver gathers is bounded by the alphabet.
+    route. As containers burst wherever terms crowd, no route holds much more than others. The driver gathers at most `limit`
+    routes for this, one for about a thousand distinct terms; if there are more, the entries are merged by whole terms.
     """
     if text is not None:
         local = df.select(text).mapInArrow(_texts(capacity, depth), TRIE_SCHEMA)
@@ -191,14 +195,14 @@ def trie_counts(
     local = staged(local, "trie")
     total = local.filter("route is null").agg(F.sum(F.element_at("records", 1))).first()[0] or 0 if text is not None else None
     tries = local.filter("route is not null")
-    routes = [r[0] for r in tries.select("route").distinct().collect()]
+    entry = F.explode(F.arrays_zip("suffixes", "occurrences", "records")).alias("e")
+    sums = [F.sum("e.occurrences").alias("occurrences"), F.sum("e.records").alias("records")]
+    routes = [r[0] for r in tries.select("route").distinct().limit(limit + 1).collect()]
+    if len(routes) > limit:
+        merged = tries.select("route", entry).groupBy(F.concat("route", "e.suffixes").alias("term")).agg(*sums)
+        return merged, total
     inner = {route[:k] for route in routes for k in range(len(route))}
     if any(route in inner for route in routes):
-        tries = tries.mapInArrow(_split(inner), TRIE_SCHEMA)
-    merged = (
-        tries.repartition("route")
-        .select("route", F.explode(F.arrays_zip("suffixes", "occurrences", "records")).alias("e"))
-        .groupBy("route", F.col("e.suffixes").alias("suffix"))
-        .agg(F.sum("e.occurrences").alias("occurrences"), F.sum("e.records").alias("records"))
-    )
+        tries = tries.mapInArrow(_split(df.sparkSession.sparkContext.broadcast(inner)), TRIE_SCHEMA)
+    merged = tries.repartition("route").select("route", entry).groupBy("route", F.col("e.suffixes").alias("suffix")).agg(*sums)
     return merged.select(F.concat("route", "suffix").alias("term"), "occurrences", "records"), total

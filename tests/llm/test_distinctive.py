@@ -3,7 +3,10 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lexweave.llm import distinctive as Q
 from lexweave.llm.terms import terms_of
@@ -48,6 +51,18 @@ def test_margin(spark, vocabulary):
     assert got == want and (3, "lone") in got
 
 
+@given(st.lists(st.lists(st.sampled_from("abcde"), min_size=1, max_size=25), min_size=1, max_size=6), st.sampled_from([1.0, 1.2, 1.7, 3.0]))
+@settings(max_examples=150, deadline=None)
+def test_the_graph_preselects_all_that_stand_out(texts, margin):
+    texts = [" ".join(c * 2 for c in t) for t in texts]
+    known = {c * 2: i for i, c in enumerate("abcde")}
+    doc, code, occurrences, degree, _ = Q._graph(texts, known)
+    idf = np.array([0.3, 1.0, 1.5, 2.0, 4.0])[code]
+    got = Q._standing_out(doc, degree * idf, occurrences * idf, margin).tolist()
+    score = occurrences * idf
+    assert got == [i for i in range(len(doc)) if all(score[i] > margin * score[k] for k in range(len(doc)) if k != i and doc[k] == doc[i])]
+
+
 def test_empty_and_odd_tables(spark, empty_sf, odd_sf, sf):
     assert Q.p5_found(spark, empty_sf).count() == 0 and Q.p5_weights(spark, empty_sf).count() == 0
     plain, odd = ({tuple(r) for r in Q.p5_found(spark, d).collect()} for d in (sf, odd_sf))

@@ -26,12 +26,12 @@ def test_terms():
     assert terms_of("The p53-gene, a B2 é x1") == ["the", "p53", "gene", "b2", "x1"]
 
 
-@pytest.mark.parametrize("capacity", [2, 50, 2048])
-def test_merged_subtrees_equal_a_count(spark, capacity):
+@pytest.mark.parametrize("capacity, depth, limit", [(2, 3, 10**6), (50, 3, 10**6), (2048, 64, 10**6), (2, 64, 10**6), (2, 64, 3)])
+def test_merged_subtrees_equal_a_count(spark, capacity, depth, limit):
     rnd = random.Random(3)
-    texts = [" ".join(rnd.choice(["alpha", "alps", "al", "beta", "bet", f"w{rnd.randrange(300)}"]) for _ in range(rnd.randrange(30))) for _ in range(200)] + [None, "", "  - "]
+    texts = [" ".join(rnd.choice(["alpha", "alps", "al", "beta", "bet", "longcommonbeginning" + str(rnd.randrange(90)), f"w{rnd.randrange(300)}"]) for _ in range(rnd.randrange(30))) for _ in range(200)] + [None, "", "  - "]
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
-    counts, total = trie_counts(df, text="t", capacity=capacity, depth=3)
+    counts, total = trie_counts(df, text="t", capacity=capacity, depth=depth, limit=limit)
     got = {r.term: (r.occurrences, r.records) for r in counts.collect()}
     occ, rec = Counter(), Counter()
     for t in texts:
