@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.tokens import VOCABULARY, sized
+from lexweave.llm.tokens import sized, vocabulary_of
 from lexweave.session import staged, table
 
 #: Items that are packed together in one task.
@@ -94,15 +94,15 @@ def packed(items: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS)
     )
 
 
-def p8_pack(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containers of all documents for each of the limits."""
-    items = staged(sized(table(spark, sf_dir, "documents"), "text", ["doc_id"], vocabulary), "sizes")
+    items = staged(sized(table(spark, sf_dir, "documents"), "text", ["doc_id"], vocabulary_of(spark)), "sizes")
     return packed(items, table(spark, sf_dir, "pack_limit"))
 
 
-def p8_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(limit_name, n_items, n_containers, n_tokens, least_containers, fill) of each limit."""
-    per = p8_pack(spark, sf_dir, vocabulary).groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
+    per = p8_pack(spark, sf_dir).groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"))
     out = per.groupBy("limit_name", "capacity_tokens").agg(F.sum("k").alias("n_items"), F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"))
     return out.select(
         "limit_name", "n_items", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"),
@@ -110,5 +110,24 @@ def p8_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     )
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(limit_name, n_docs, overfull, broken, needless, well_filled): what must hold of the containers of each limit.
+
+    overfull counts containers above the capacity, broken documents whose parts don't follow one another without a gap,
+    needless those that were split though they fit. well_filled says whether at most one container in twenty, and one more,
+    could be spared.
+    """
+    items = staged(p8_pack(spark, sf_dir), "packed")
+    cap = F.col("capacity_tokens")
+    per = items.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"))
+    bins = per.groupBy("limit_name").agg(F.sum((F.col("n") > cap).cast("long")).alias("overfull"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / F.max(cap)) * 1.05 + 1).alias("well_filled"))
+    whole = items.groupBy("limit_name", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.countDistinct("start_token").alias("starts"))
+    broken = (F.col("n") != F.col("end")) | (F.col("starts") != F.col("k"))
+    docs = whole.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(broken.cast("long")).alias("broken"), F.sum(((F.col("k") > 1) & (F.col("n") <= cap)).cast("long")).alias("needless"))
+    return docs.join(bins, "limit_name").select("limit_name", "n_docs", "overfull", "broken", "needless", "well_filled")
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p8_holds": p8_holds}
+SQL = {
+    "p8_holds": "select limit_name, (select count(*) from documents) n_docs, 0::bigint overfull, 0::bigint broken, 0::bigint needless, true well_filled from pack_limit where capacity_tokens > 0",
+}

@@ -19,14 +19,21 @@ def made():
     return docs + [(3000, "other", 9, 1.0), (3001, None, 9, 1.0), (3002, "a", 0, 1.0), (3003, "none", 8, 1.0)]
 
 
-@pytest.mark.parametrize("slices", [4096, 7, 1])
-def test_budgets_repeats_and_order(spark, slices):
+@pytest.mark.parametrize("edge_rows, round_bits, size", [(100_000, 12, "all"), (3, 4, "all"), (1, 12, "all"), (3, 4, "met"), (20, 4, 1000)])
+def test_budgets_repeats_and_order(spark, edge_rows, round_bits, size):
     docs = made()
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, weight double")
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
-    chosen, _ = Q.mixed(df, targets, slices=slices)
+    chosen, _ = Q.mixed(df, targets, size, edge_rows, round_bits)
     keys = {r.doc_id: r.k for r in df.select("doc_id", Q.sampling_key(df.doc_id, df.weight).alias("k")).collect()}
-    total = sum(n for _, s, n, _ in docs if s in ("a", "b", "c", "none"))
+    tokens_of = Counter()
+    for _, s, n, _ in docs:
+        tokens_of[s] += n
+    total = sum(tokens_of[s] for s in ("a", "b", "c", "none"))
+    if size == "met":
+        total = min(math.floor(tokens_of[s] * repeats / share) for s, share, repeats in TARGETS[:3])
+    elif size != "all":
+        total = size
     got = {r.doc_id: r.copies for r in chosen.collect()}
     want = {}
     for source, share, repeats in TARGETS[:4]:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexweave.llm import packing as Q
-from lexweave.llm.tokens import encoding, sized
+from lexweave.llm.tokens import VOCABULARY, encoding, sized, sized_and_weighed
 
 
 @given(st.lists(st.integers(0, 100), max_size=200), st.integers(100, 150))
@@ -53,8 +53,15 @@ def test_sizes_are_whole_texts(spark):
     text = "Einige Wörter, <|endoftext|> and more. " * 500
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in sized(df, "text", ["doc_id"]).collect()}
-    assert got == {1: len(encoding(Q.VOCABULARY).encode_ordinary(text)), 2: 0, 3: 0}
-    assert encoding(Q.VOCABULARY).decode(encoding(Q.VOCABULARY).encode_ordinary(text)) == text
+    assert got == {1: len(encoding(VOCABULARY).encode_ordinary(text)), 2: 0, 3: 0}
+    assert encoding(VOCABULARY).decode(encoding(VOCABULARY).encode_ordinary(text)) == text
+
+
+def test_typical_texts_weigh_more(spark):
+    plain = "The effect of the drug on the patients was small. We saw no change in the level of the marker."
+    rows = [(i, plain) for i in range(50)] + [(100, "xqzv jjkw qqpz vvxk zzqj kxwv " * 20), (101, "the " * 400), (102, plain), (103, None), (104, "")]
+    got = {r.doc_id: (r.n_tokens, r.weight) for r in sized_and_weighed(spark.createDataFrame(rows, "doc_id long, text string"), "text", ["doc_id"]).collect()}
+    assert got[102] == got[0] and got[102][1] > 0.8 and max(got[100][1], got[101][1]) < 0.5 and got[103] == got[104] == (0, 0.0)
 
 
 def test_fill_and_empty_and_odd_tables(spark, sf, empty_sf, odd_sf):
