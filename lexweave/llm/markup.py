@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
@@ -38,6 +39,9 @@ LATEX_OTHER = set(
     "Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega frac sqrt sum prod int leq geq neq approx times cdot pm infty rightarrow leftarrow to mathrm mathbf mathit".split()
 )
 DROPPED_TAGS = "script style noscript"
+VOID_TAGS = set("br hr img input meta link base wbr".split())
+#: Tags that the next of their kind ends.
+ENDED_BY_NEXT = set("li dt dd p tr td th option".split())
 
 #: What a text must hold for any markup to be looked for.
 ANY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]\w*;|[\\`\[{$]|''|\*|__|(?<!\w)_\S|^[ ]{0,3}(?:#|=|[-+] |\d{1,3}[.)] |>|-{3})", re.M)
@@ -75,6 +79,7 @@ WIKI_OTHER_START = re.compile(r"\{\||__[A-Z]|\[http|~~~~")
 MD_ATX = re.compile(r"^[ ]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
 MD_SETEXT = re.compile(r"^(?=[^\n]*\w)[ ]{0,3}(?![-+*>#=])(\S[^\n]*)\n[ ]{0,3}(=+|-{2,})[ \t]*$", re.M)
 MD_LIST = re.compile(r"^[ \t]{0,8}(?:[-+*]|\d{1,3}[.)])[ \t]+\S", re.M)
+MD_OTHER_LIST = re.compile(r"^[ \t]{0,8}(?:[-+]|\d{1,3}[.)])[ \t]+\S", re.M)
 MD_LINK = re.compile(r"!?\[[^\[\]\n]+\](?:\([^()\s]+(?:\s+\"[^\"\n]*\")?\)|\[[^\[\]\n]*\])|^[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S+|<(?:https?|mailto):[^\s<>]+>", re.M)
 MD_STRONG = re.compile(r"(?<![\w*])\*\*(?=[^\s*])[^*\n]*[^\s*]\*\*(?![\w*])|(?<![\w_])__(?=[^\s_])[^\n]*?[^\s_]__(?![\w_])|~~(?=\S)[^~\n]+~~")
 MD_EMPHASIS = re.compile(r"(?<![\w*])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]*[^\s_]_(?![\w_])")
@@ -84,6 +89,10 @@ TEX_COMMAND = re.compile(r"(?<!\\)\\([A-Za-z]+)\*?(?![A-Za-z\\])")
 TEX_ARGUMENT = re.compile(r"(?<!\\)\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}")
 TEX_ENV = re.compile(r"\\(?:begin|end)\{([A-Za-z]+)\*?\}")
 TEX_ESCAPE = re.compile(r"(?<![\\:\w])\\[%&#_{}$](?!\w*\\)|(?<=[\w.,;)])\\[%&#_$]|\\[\"'`^~=.](?:\{[A-Za-z]\}|[A-Za-z])|(?<=\.)\\ (?=\S)")
+#: A link out of the text; links between pages of a wiki are part of it.
+LINKED = re.compile(r"<a\b[^<>]*>.*?</a\s*>|!?\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)|\\href\{[^{}]*\}\{[^{}]*\}", re.I | re.S)
+#: What of a node isn't read: holes, tags, addresses of links.
+UNSEEN = re.compile(r"\x00\d+\x00|</?[A-Za-z][^<>]*>|(?<=\])\([^()\s]+(?:\s+\"[^\"\n]*\")?\)")
 MATHML = re.compile(r"<(?:\w+:)?m(?:i|o|n|row|sup|sub|frac|sqrt|text|table|style|space|over|under|fenced)\b", re.I)
 
 HOLE = "\x00"
@@ -92,13 +101,48 @@ HOLES = re.compile("\x00(\\d+)\x00")
 
 @dataclass
 class Node:
-    """A piece of text below a path of tags, with what kind of structure it is."""
+    """A piece of text below a root-to-leaf path of tags, with what kind of structure it is."""
 
     path: tuple[str, ...]
     kind: str
     text: str
 
 
+@dataclass
+class Mark:
+    """A construct of a markup in the tree: its path leads from the markup over the open tags to the element."""
+
+    path: tuple[str, ...]
+    at: int
+
+    @property
+    def pair(self) -> tuple[str, str]:
+        return self.path[0], self.path[-1]
+
+
+class Tree:
+    """The constructs of a text by their places, below the tags that are open there."""
+
+    def __init__(self) -> None:
+        self.marks: list[Mark] = []
+        self.steps: list[tuple[int, tuple[str, ...]]] = [(0, ())]
+
+    def open(self, at: int, name: str) -> None:
+        self.steps.append((at, (*self.steps[-1][1], name)))
+
+    def close(self, at: int, name: str) -> None:
+        path = self.steps[-1][1]
+        if name in path:
+            self.steps.append((at, path[: len(path) - 1 - path[::-1].index(name)]))
+
+    def put(self, markup: str, element: str, at: int) -> None:
+        path = self.steps[bisect_right(self.steps, at, key=lambda s: s[0]) - 1][1]
+        self.marks.append(Mark((markup, *path, element), at))
+
+    def pairs(self) -> set[tuple[str, str]]:
+        return {m.pair for m in self.marks}
+
+
 def _known(name: str, closed: set[str]) -> bool:
     name = name.lower()
     return name in HEADING_TAGS or name in LIST_TAGS or name in BLOCK_TAGS or name in INLINE_TAGS or name in CODE_TAGS.split() or name == "math" or name in closed
@@ -131,104 +175,116 @@ FORMULA_KINDS = {"math": "html", "equation": "latex", "display": "latex", "inlin
 
 def elements(text: str) -> set[tuple[str, str]]:
     """The pairs (markup, element) that a text holds."""
-    return analysed(text)[0]
+    return analysed(text)[0].pairs()
 
 
-def analysed(text: str) -> tuple[set[tuple[str, str]], str, list[tuple[str, str]], bool]:
-    """The pairs (markup, element) of a text, the text with holes, what stood in them, and whether it is wiki text."""
-    if not ANY.search(text):
-        return set(), text, [], False
-    found: set[tuple[str, str]] = set()
-    rest, spans = _spans(text)
-    kinds = {k for k, _ in spans}
-
-    # HTML and XML
-    tags = [m for m in TAG.finditer(rest)] if "<" in rest else []
+def _html(tree: Tree, rest: str, kinds: set[str]) -> None:
+    """Tags, which open and close the paths of the tree, character references, comments."""
+    tags = list(TAG.finditer(rest)) if "<" in rest else []
     opened = {m["name"].lower() for m in tags if m["name"] and not m["close"]}
     closed = {m["name"].lower() for m in tags if m["name"] and m["close"]} & opened
-    open_wrappers = closed_wrappers = 0
+    unopened = 0
     for m in tags:
-        name = (m["name"] or "").lower()
-        if name == "abstracttext":
-            if m["close"]:
-                closed_wrappers += 1
-                continue
-            open_wrappers += 1
+        name, at = (m["name"] or "").lower(), m.start()
+        if not name:
+            tree.put("html", "other", at)
+            continue
+        if not _known(name, closed):
+            continue
+        if m["close"]:
+            unopened += name == "abstracttext" and name not in tree.steps[-1][1]
+            tree.close(at, name)
+        elif not m["self"] and name not in VOID_TAGS:
+            if name in ENDED_BY_NEXT:
+                tree.close(at, name)
+            tree.open(at, name)
+        if name != "abstracttext":
+            tree.put("html", "heading" if name in HEADING_TAGS else "list" if name in LIST_TAGS else "code" if name in CODE_TAGS.split() else "formula" if name == "math" else "other", at)
+        elif not m["close"]:
             label = LABEL.search(m["attrs"] or "")
-            label = (label[1] or label[2] or "") if label else ""
-            found.add(("html", "heading" if label.strip() and label.strip() != "null" else "other"))
-        elif not name:
-            found.add(("html", "other"))
-        elif _known(name, closed):
-            found.add(("html", "heading" if name in HEADING_TAGS else "list" if name in LIST_TAGS else "code" if name in CODE_TAGS.split() else "formula" if name == "math" else "other"))
-    if closed_wrappers > open_wrappers:
-        found.add(("html", "other"))
-    if "&" in rest and any(m[0][1] == "#" or m[0][1:] in html5 for m in CHARREF.finditer(rest)):
-        found.add(("html", "other"))
+            label = ((label[1] or label[2] or "") if label else "").strip()
+            tree.put("html", "heading" if label and label != "null" else "other", at)
+    if unopened:
+        tree.put("html", "other", len(rest))
+    if "&" in rest:
+        for m in CHARREF.finditer(rest):
+            if m[0][1] == "#" or m[0][1:] in html5:
+                tree.put("html", "other", m.start())
     if kinds & {"comment", "dropped"}:
-        found.add(("html", "other"))
-
-    # wiki
-    heading = WIKI_HEADING.search(rest)
-    link = "[[" in rest and WIKI_LINK.search(rest)
-    other = link or ("{{" in rest and WIKI_TEMPLATE.search(rest)) or ("''" in rest and WIKI_QUOTES.search(rest)) or (WIKI_OTHER_START.search(rest) and WIKI_OTHER.search(rest))
-    atx, setext = "#" in rest and MD_ATX.search(rest), "\n" in rest and MD_SETEXT.search(rest)
-    md_link = ("[" in rest or "<" in rest) and MD_LINK.search(rest)
-    strong = ("**" in rest or "__" in rest or "~~" in rest) and MD_STRONG.search(rest)
+        tree.put("html", "other", 0)
+
+
+def _tex(tree: Tree, rest: str) -> None:
+    """Commands, environments and escapes of LaTeX."""
+    if "\\" not in rest:
+        return
+    for m in TEX_COMMAND.finditer(rest):
+        name, at = m[1], m.start()
+        argument = TEX_ARGUMENT.match(rest, at)
+        if name in LATEX_HEADINGS and argument:
+            tree.put("latex", "heading", at)
+        elif name == "item":
+            tree.put("latex", "list", at)
+        elif name in ("begin", "end"):
+            if env := TEX_ENV.match(rest, at):
+                tree.put("latex", "list" if env[1] in LATEX_LISTS else "code" if env[1] in LATEX_CODE.split() else "formula" if env[1] in LATEX_FORMULAS.split() else "other", at)
+        elif name in LATEX_OTHER and not (at and rest[at - 1] == ":") or argument:
+            tree.put("latex", "other", at)
+    if m := TEX_ESCAPE.search(rest):
+        tree.put("latex", "other", m.start())
+
+
+def analysed(text: str) -> tuple[Tree, str, list[tuple[str, str]], bool]:
+    """The tree of a text's markup, the text with holes for code and formulas, what stood in them, and whether it is wiki text."""
+    tree = Tree()
+    if not ANY.search(text):
+        return tree, text, [], False
+    rest, spans = _spans(text)
+    kinds = {k for k, _ in spans}
+    _html(tree, rest, kinds)
+    blocks = bool(tree.pairs() - {("html", "other")})
+
+    # wiki and Markdown, told apart by what only one of them has
+    look = lambda sign, pattern: pattern.search(rest) if sign in rest else None
+    heading, link = WIKI_HEADING.search(rest), look("[[", WIKI_LINK)
+    other = link or look("{{", WIKI_TEMPLATE) or look("''", WIKI_QUOTES) or (WIKI_OTHER_START.search(rest) and WIKI_OTHER.search(rest))
+    atx, setext = look("#", MD_ATX), look("\n", MD_SETEXT)
+    md_link = MD_LINK.search(rest) if "[" in rest or "<" in rest else None
+    strong = MD_STRONG.search(rest) if "**" in rest or "__" in rest or "~~" in rest else None
     markdown = bool(kinds & {"fence", "tick"} or atx and not link or md_link or strong or setext)
-    tex_math = "texmath" in kinds
-    wiki = bool(heading or other or "wikipre" in kinds or tex_math and not (found - {("html", "other")}))
+    wiki = bool(heading or other or "wikipre" in kinds or "texmath" in kinds and not blocks)
     if heading:
-        found.add(("wiki", "heading"))
+        tree.put("wiki", "heading", heading.start())
     if other:
-        found.add(("wiki", "other"))
-    if wiki and not (markdown and not heading and not other) and WIKI_LIST.search(rest):
-        found.add(("wiki", "list"))
-    lists_taken = ("wiki", "list") in found
-
-    # LaTeX
-    tex: set[str] = set()
-    if "\\" in rest:
-        for m in TEX_COMMAND.finditer(rest):
-            name = m[1]
-            if name in LATEX_HEADINGS and TEX_ARGUMENT.match(rest, m.start()):
-                tex.add("heading")
-            elif name == "item":
-                tex.add("list")
-            elif name in ("begin", "end"):
-                env = TEX_ENV.match(rest, m.start())
-                if env:
-                    tex.add("list" if env[1] in LATEX_LISTS else "code" if env[1] in LATEX_CODE.split() else "formula" if env[1] in LATEX_FORMULAS.split() else "other")
-            elif name in LATEX_OTHER and not (m.start() and rest[m.start() - 1] == ":"):
-                tex.add("other")
-            elif TEX_ARGUMENT.match(rest, m.start()):
-                tex.add("other")
-        if TEX_ESCAPE.search(rest):
-            tex.add("other")
-    found |= {("latex", e) for e in tex}
-
-    # Markdown
+        tree.put("wiki", "other", other.start())
+    listed = WIKI_LIST.search(rest) if wiki and not (markdown and not heading and not other) else None
+    if listed:
+        tree.put("wiki", "list", listed.start())
+    _tex(tree, rest)
+    tex = any(m == "latex" for m, _ in tree.pairs())
     if atx and not wiki or setext:
-        found.add(("markdown", "heading"))
-    if not lists_taken and MD_LIST.search(rest) or lists_taken and re.search(r"^[ \t]{0,8}(?:[-+]|\d{1,3}[.)])[ \t]+\S", rest, re.M):
-        found.add(("markdown", "list"))
-    emphasis = ("*" in rest or "_" in rest) and MD_EMPHASIS.search(rest)
-    if md_link or strong or emphasis or MD_OTHER.search(MD_SETEXT.sub("", rest) if setext else rest):
-        found.add(("markdown", "other"))
-    md = any(m == "markdown" for m, _ in found) or bool(kinds & {"fence", "tick"})
-    if md and not tex and MD_ESCAPE.search(rest):
-        found.add(("markdown", "other"))
+        tree.put("markdown", "heading", (setext or atx).start())
+    if m := (MD_OTHER_LIST if listed else MD_LIST).search(rest):
+        tree.put("markdown", "list", m.start())
+    emphasis = MD_EMPHASIS.search(rest) if "*" in rest or "_" in rest else None
+    if m := md_link or strong or emphasis or MD_OTHER.search(MD_SETEXT.sub("", rest) if setext else rest):
+        tree.put("markdown", "other", m.start())
+    md = any(m == "markdown" for m, _ in tree.pairs()) or bool(kinds & {"fence", "tick"})
+    if md and not tex and (m := MD_ESCAPE.search(rest)):
+        tree.put("markdown", "other", m.start())
 
     # code and formulas belong to the markup the text is otherwise written in
-    for kind in kinds:
+    html_blocks = any(m == "html" and e != "other" for m, e in tree.pairs())
+    for m in HOLES.finditer(rest):
+        kind = spans[int(m[1])][0]
         if kind in CODE_KINDS:
-            found.add(("wiki" if kind == "pre" and wiki and not any(m == "html" and e != "other" for m, e in found) else CODE_KINDS[kind], "code"))
+            tree.put("wiki" if kind == "pre" and wiki and not html_blocks else CODE_KINDS[kind], "code", m.start())
         elif kind == "texmath":
-            found.add(("wiki" if wiki else "html", "formula"))
+            tree.put("wiki" if wiki else "html", "formula", m.start())
         elif kind in FORMULA_KINDS:
             tied = kind in ("dollar", "dollars") and md and not tex and not kinds & {"equation", "display", "inline"}
-            found.add(("markdown" if tied else FORMULA_KINDS[kind], "formula"))
-    return found, rest, spans, wiki
+            tree.put("markdown" if tied else FORMULA_KINDS[kind], "formula", m.start())
+    return tree, rest, spans, wiki
 
 
 def _nodes(rest: str, wiki: bool) -> list[Node]:
@@ -262,7 +318,8 @@ def _nodes(rest: str, wiki: bool) -> list[Node]:
                 inside = [t for t in path if t in HEADING_TAGS or t in LIST_TAGS or t == "title"]
                 kind = "heading" if inside and (inside[-1] in HEADING_TAGS or inside[-1] == "title") else "list" if inside else "text"
             if body:
-                nodes.append(Node((*own, kind) if kind not in own else own, kind, body))
+                leaf = "a" if LINKED.search(body) and not re.search(r"\w", LINKED.sub("", body)) else kind
+                nodes.append(Node((*own, leaf) if leaf not in own else own, "link" if leaf == "a" else kind, body))
 
     for m in TAG.finditer(rest):
         name = (m["name"] or "").lower()
@@ -286,35 +343,51 @@ def _nodes(rest: str, wiki: bool) -> list[Node]:
 
 
 #: A path is content if its fused ratio is at least this share of the spread over the text's nodes.
-KEEP = 0.25
+KEEP = 0.8
+#: Weights of a node and its neighbours when ratios are smoothed along the text.
+SMOOTH = np.array([0.1, 0.8, 0.1])
+#: Kinds that are structure; they are kept wherever they stand. Text that closes a sentence is kept but below FRAME tags.
+STRUCTURE = {"heading", "list"}
+FRAME = set("nav header footer aside form menu".split())
+SENTENCE = re.compile(r"[.!?。！？][\"')\]”»]*\s*$")
+
+
+def ratios(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node the fused ratio of its path, smoothed along the text, and the mean of that over the path's nodes.
+
+    For each root-to-leaf path the text length and the punctuation of its nodes are summed and divided by their number;
+    the two ratios are fused by product.
+    """
+    paths: dict[tuple[str, ...], int] = {}
+    of = np.array([paths.setdefault(n.path, len(paths)) for n in nodes])
+    count = np.bincount(of)
+    seen = [" ".join(UNSEEN.sub("", n.text).split()) for n in nodes]
+    length = np.bincount(of, [len(t) for t in seen]) / count
+    marks = np.bincount(of, [sum(t.count(c) for c in ".,;:!?。，；：！？") for t in seen]) / count
+    line = (length * (1 + marks))[of]
+    reach = len(SMOOTH) // 2
+    smooth = np.convolve(np.pad(line, reach, mode="edge"), SMOOTH, mode="valid")
+    return smooth, (np.bincount(of, smooth) / count)[of]
 
 
 def content(nodes: list[Node]) -> list[Node]:
-    """The nodes of content paths.
+    """The nodes of content paths: those whose mean smoothed ratio is at least KEEP times the spread of the ratios.
 
-    For each root-to-leaf path the length of its text and its punctuation are summed and divided by its nodes; the two
-    ratios are fused by product, smoothed over neighbouring nodes, and averaged by path. A path below KEEP times the
-    standard deviation is noise, unless it holds headings, lists, code or formulas, or text with a sentence's
-    punctuation.
+    A text of a single path is content. Headings, items of lists that aren't mere links, code and formulas are structure and
+    kept, and so are sentences, unless they stand below a tag of a page's frame; a heading in front of dropped nodes only
+    goes with them.
     """
-    paths = [n.path for n in nodes]
-    if len(set(paths)) < 2:
+    if len({n.path for n in nodes}) < 2:
         return nodes
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for n in nodes:
-        s = sums.setdefault(n.path, [0, 0, 0])
-        s[0] += len(n.text)
-        s[1] += sum(n.text.count(c) for c in ".,;:!?")
-        s[2] += 1
-    ratio = {p: (s[0] / s[2]) * (1 + s[1] / s[2]) for p, s in sums.items()}
-    line = np.array([ratio[p] for p in paths])
-    padded = np.concatenate([line[:1], line, line[-1:]])
-    smooth = 0.25 * padded[:-2] + 0.5 * line + 0.25 * padded[2:]
-    mean: dict[tuple[str, ...], list[float]] = {}
-    for p, v in zip(paths, smooth):
-        mean.setdefault(p, []).append(v)
+    smooth, mean = ratios(nodes)
     limit = KEEP * float(smooth.std())
-    return [n for n in nodes if n.kind != "text" or sums[n.path][1] or HOLE in n.text or sum(mean[n.path]) / len(mean[n.path]) >= limit]
+    sentence = [n.kind == "text" and not FRAME.intersection(n.path) and bool(SENTENCE.search(UNSEEN.sub("", n.text))) for n in nodes]
+    keep = [n.kind in STRUCTURE or HOLE in n.text or s or v >= limit for n, s, v in zip(nodes, sentence, mean)]
+    for i, n in enumerate(nodes):
+        if n.kind == "heading":
+            after = [keep[k] for k in range(i + 1, next((k for k in range(i + 1, len(nodes)) if nodes[k].kind == "heading"), len(nodes)))]
+            keep[i] = not after or any(after)
+    return [n for n, k in zip(nodes, keep) if k]
 
 
 def _plain(text: str, spans: list[tuple[str, str]], found: set[tuple[str, str]], wiki: bool) -> str:
@@ -325,8 +398,16 @@ def _plain(text: str, spans: list[tuple[str, str]], found: set[tuple[str, str]],
     if wiki:
         text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]+)\]\]", r"\1", text)
         text = WIKI_TEMPLATE.sub("", text)
+        text = re.sub(r"__(?:TOC|NOTOC|NOEDITSECTION|FORCETOC)__|~{4}", "", text)
+        text = re.sub(r"\[https?://[^\s\]]+(?:\s([^\]\n]*))?\]", lambda m: m[1] or "", text)
+        text = re.sub(r"^(?:\{\|[^\n]*|\|\}|\|-[^\n]*|\|\+?|!)\s*", "", text).replace("||", " ").replace("!!", " ")
         text = WIKI_QUOTES.sub(r"\2", text)
     if "markdown" in markups:
+        text = re.sub(r"^[ ]{0,3}(?:>[ \t]*)+", "", text)
+        text = re.sub(r"^[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*$|^[ ]{0,3}(?:[-*][ ]?){3,}$|^\|?(?:\s*:?-{2,}:?\s*\|)+\s*:?-*:?\s*$", "", text)
+        text = re.sub(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", text)
+        text = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", text)
+        text = re.sub(r"<((?:https?|mailto):[^\s<>]+)>", r"\1", text)
         text = re.sub(r"!?\[([^\[\]\n]+)\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)", r"\1", text)
         text = re.sub(r"(?<![\w*])(\*{1,2})(?=[^\s*])([^*\n]*[^\s*])\1(?![\w*])", r"\2", text)
         text = re.sub(r"(?<![\w_])(_{1,2})(?=[^\s_])([^\n]*?[^\s_])\1(?![\w_])", r"\2", text)
@@ -334,8 +415,9 @@ def _plain(text: str, spans: list[tuple[str, str]], found: set[tuple[str, str]],
             text = MD_ESCAPE.sub(lambda m: m[0][1:], text)
     if "latex" in markups:
         text = re.sub(r"\\(?:cite[pt]?|label|ref|eqref)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", text)
-        for _ in range(3):
-            text = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", text)
+        before = None
+        while before != text:
+            before, text = text, re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", text)
         text = re.sub(r"\{\\[A-Za-z]+\s+([^{}\n]*)\}", r"\1", text)
         text = re.sub(r"\\([%&#_{}$])", r"\1", text)
         text = re.sub(r"\\[\"'`^~=.]\{?([A-Za-z])\}?", r"\1", text)
@@ -361,7 +443,8 @@ def clean(text: str) -> tuple[str, list[tuple[str, str]]]:
     Headings begin with "# ", list items with "- ", code stands between ` or ``` and formulas between $ signs. A text
     without markup comes out as it is.
     """
-    found, rest, spans, wiki = analysed(text)
+    tree, rest, spans, wiki = analysed(text)
+    found = tree.pairs()
     if not found:
         return text, []
     start = {"heading": "# ", "list": "- "}

@@ -87,3 +87,69 @@ def test_empty_and_odd_tables(spark, empty_sf, odd_sf, sf):
     assert Q.p2_found(spark, empty_sf).count() == 0
     plain, odd = ({tuple(r) for r in Q.p2_found(spark, d).collect()} for d in (sf, odd_sf))
     assert plain == odd
+
+
+P1 = "The uptake rose in all cases, as the first series showed; the level fell after that, and stayed low."
+P2 = "It is not known why, but the second series, of 27 subjects, agrees with the first in all respects."
+#: Pages, the lines that are content, and the lines that are noise.
+LABELLED = [
+    (f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">Browse</a></li></ul></nav><h1>Head</h1><p>{P1}</p><p>{P2}</p><ul><li>gamma</li></ul><footer>Copyright 2020</footer></body></html>', {"# Head", P1, P2, "- gamma"}, {"Home", "- Home", "Browse", "- Browse", "Copyright 2020"}),
+    (f'<div><a href="/s">Share</a> | <a href="/t">Tweet</a></div><div><p>{P1}</p><p>{P2} {P1}</p></div><aside>Read more</aside>', {P1, f"{P2} {P1}"}, {"Share | Tweet", "Read more"}),
+    (f"{P1}\n\n{P2}\n\n[Home](/) | [Up](/up)\n\n- one\n- two\n\n```\nx = 1\n```", {P1, P2, "- one", "- two", "x = 1"}, {"Home | Up"}),
+    (f"== Head ==\n{P1}\n{P2}\n* [[Link one]]\n* [[Link two]]\n", {"# Head", P1, P2, "- Link one", "- Link two"}, set()),
+    (f"{P1} {P2} {P1} <p>Gamma was next.</p> {P1} {P2}<footer><p>All rights reserved.</p></footer>", {"Gamma was next."}, {"All rights reserved."}),
+    (f'<AbstractText Label="AIM">{P1}</AbstractText><AbstractText Label="END">It held.</AbstractText>', {"# AIM", P1, "# END", "It held."}, set()),
+    (f"<p>{P1}</p><p>Short, but so.</p><p>{P2}</p><pre>run x</pre>", {P1, "Short, but so.", P2, "`run x`"}, set()),
+    (f"<nav><h3>Menu</h3><a href='/a'>A</a></nav><article><h2>Head</h2><p>{P1}</p><p>{P2}</p></article>", {"# Head", P1, P2}, {"A", "# Menu"}),
+]
+
+
+def test_paths_select_content_in_a_labelled_set():
+    kept = dropped = content = noise = 0
+    for page, good, bad in LABELLED:
+        lines = set(Q.clean(page)[0].split("\n"))
+        kept, content = kept + len(good & lines), content + len(good)
+        dropped, noise = dropped + len(bad - lines), noise + len(bad)
+    assert kept == content and dropped == noise
+
+
+def test_the_threshold_decides():
+    nodes = [Q.Node(("p", "text"), "text", P1), Q.Node(("p", "text"), "text", P2), Q.Node(("aside", "text"), "text", "Read more"), Q.Node(("div", "text"), "text", P2)]
+    smooth, mean = Q.ratios(nodes)
+    assert mean[2] < Q.KEEP * smooth.std() <= min(mean[0], mean[1], mean[3])
+
+
+@pytest.mark.parametrize("text, path", [("<div><ul><li>a</li></ul></div>", ("html", "div", "ul", "li", "list")), ("<AbstractText Label='A'>x `y`</AbstractText>", ("markdown", "abstracttext", "code")), ("x<OL><LI>a<LI>b</OL> &amp;", ("html", "other"))])
+def test_paths_of_the_tree(text, path):
+    assert path in {m.path for m in Q.analysed(text)[0].marks}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("> quoted ~~old~~ [text][r]\n\n[r]: http://x.y\n\n***\n\n**b** one", "quoted old text\nb one"),
+        ("'''a''' __TOC__ [http://x.y label] here", "a  label here"),
+        (r"\textbf{a \emph{b \textit{c \textsc{d \textsf{e}}}}} end", "a b c d e end"),
+    ],
+)
+def test_what_is_found_is_removed(text, want):
+    assert Q.clean(text)[0] == want
+
+
+GOLDEN = {
+    1: {("html", "heading")},
+    2: {("wiki", "heading"), ("wiki", "list"), ("wiki", "other")},
+    3: {("latex", "formula"), ("latex", "other")},
+    5: {("markdown", "code"), ("markdown", "list")},
+}
+
+
+def test_golden_rows(spark, tmp_path):
+    """The current row of each article counts, with all that it holds and nothing else."""
+    rows = [
+        (1, "<AbstractText Label='AIM'>x</AbstractText>", "2020-02-01"), (1, "== Old ==", "2020-01-01"), (2, "== H ==\n* [[a]]\n* [[b]]", "2020-01-01"),
+        (3, r"\emph{a} is $\mu = 2$", "2020-01-01"), (3, r"\emph{a} is $\mu = 2$", "2020-01-01"), (4, "plain, p < 0.05", "2020-01-01"), (5, "a\n\n- b\n- `c`\n", "2020-01-01"), (6, None, "2020-01-01"), (None, "<b>x</b>", "2020-01-01"),
+    ]
+    spark.createDataFrame(rows, "pmid int, abs string, l string").selectExpr("pmid", "abs", "timestamp(l) loaded_at").write.parquet(str(tmp_path / "abstracts.parquet"))
+    got = sorted((r.pmid, r.markup, r.element) for r in Q.p2_found(spark, str(tmp_path)).collect())
+    assert got == sorted((k, *p) for k, ps in GOLDEN.items() for p in ps)
