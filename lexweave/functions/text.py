@@ -125,6 +125,18 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), 0)
 
 
+def counted(words: Column) -> Column:
+    """Each different word of a sorted array and how often it is there, as structs (term, tf) in order; null for null.
+
+    The runs of the array are measured, so that the words of a row needn't leave it to be counted. `words` is looked up at
+    each place; it should be a plain column, not an expression.
+    """
+    n = F.size(words)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(words, i - 1) != F.get(words, i - 2))))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(n, F.lit(1))), F.array(n + 1))
+    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(F.get(words, a - 1).alias("term"), (b - a).cast("long").alias("tf")))).when(n == 0, F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def weight_pair(key: Column, weight: Column) -> Column:
     """`key,weight` with six decimals."""
     return F.format_string("%d,%f", key, weight)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.weights import in_units, overlap_ratio, two_poisson
+from lexweave.operators.skew import keyed_join
 from lexweave.session import small_or_shuffled, spread
 
 FLAGS = [(False, False), (False, True), (True, False), (True, True)]
@@ -44,9 +47,27 @@ def ratios(pivot: DataFrame, counts: DataFrame) -> DataFrame:
     """(pmid, related, r00, r01, r10, r11, ratio): shared headings over those in either record, 0 for a zero denominator."""
     a = counts.select("pmid", F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("total").alias("a"))
     b = counts.select(F.col("pmid").alias("related"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("total").alias("b"))
-    both = pivot.join(a, "pmid").join(b, "related")
+    both = pivot.join(small_or_shuffled(a), "pmid").join(b, "related")
+    return both.select("pmid", "related", *_ratio_columns())
+
+
+def jaccard(heads: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """(pmid, related, r00, r01, r10, r11, ratio) as ratios(relation_pivot(relations(...)), count_pivot(heads)) gives it.
+
+    The counts of a record go along with its headings, so that the pairs, many times their rows, aren't shuffled for them.
+    """
+    counts = count_pivot(heads)
+    a = small.select("pmid", *keys, "major").join(counts.select("pmid", F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("total").alias("a")), "pmid")
+    b = heads.join(counts, "pmid").select(F.col("pmid").alias("related"), *keys, F.col("major").alias("related_major"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("total").alias("b"))
+    cell = lambda x, y: F.sum(((F.col("major") == x) & (F.col("related_major") == y)).cast("long")).alias(f"c{int(x)}{int(y)}")
+    of = ["a0", "a1", "a", "b0", "b1", "b"]
+    both = spread(b, "related").join(small_or_shuffled(a), keys).groupBy("pmid", "related").agg(*[cell(x, y) for x, y in FLAGS], F.count(F.lit(1)).alias("total"), *[F.max(c).alias(c) for c in of])
+    return both.select("pmid", "related", *_ratio_columns())
+
+
+def _ratio_columns() -> list[Column]:
     each = [F.round(overlap_ratio(F.col(f"c{int(x)}{int(y)}"), F.col(f"a{int(x)}"), F.col(f"b{int(y)}")), 9).alias(f"r{int(x)}{int(y)}") for x, y in FLAGS]
-    return both.select("pmid", "related", *each, F.round(overlap_ratio(F.col("total"), F.col("a"), F.col("b")), 9).alias("ratio"))
+    return [*each, F.round(overlap_ratio(F.col("total"), F.col("a"), F.col("b")), 9).alias("ratio")]
 
 
 def summed(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -61,10 +82,16 @@ def set_groups(df: DataFrame, key: str, value: str) -> DataFrame:
     return sets.groupBy("joined").agg(F.array_sort(F.collect_set(key)).alias("pmids"), F.count(F.lit(1)).alias("n"))
 
 
-def synonym_hits(texts: DataFrame, heads: DataFrame, synonyms: DataFrame, count: Column) -> DataFrame:
-    """(mesh, pmid, major, fuzzy, n): how often a text holds each synonym of each heading of its record."""
-    joined = heads.join(small_or_shuffled(synonyms), "mesh").join(texts, "pmid")
-    return joined.select("mesh", "pmid", "major", "fuzzy", count.alias("n"))
+def synonym_hits(texts: DataFrame, heads: DataFrame, synonyms: DataFrame, count: Callable[[Column, Column], Column]) -> DataFrame:
+    """(mesh, pmid, major, fuzzy, n): how often a text holds each synonym of each heading of its record.
+
+    texts has (pmid, abs), synonyms (mesh, fuzzy), count takes a text and a synonym. The synonyms of a record are gathered
+    before its text is joined, so that no text is copied for each of them.
+    """
+    sets = synonyms.groupBy("mesh").agg(F.collect_list("fuzzy").alias("_all"))
+    mine = keyed_join(heads.select("mesh", "pmid", "major"), sets, "mesh", ["pmid"]).groupBy("pmid").agg(F.collect_list(F.struct("mesh", "major", "_all")).alias("_sets"))
+    each = F.flatten(F.transform("_sets", lambda s: F.transform(s["_all"], lambda f: F.struct(s["mesh"].alias("mesh"), s["major"].alias("major"), f.alias("fuzzy"), count(F.col("abs"), f).alias("n")))))
+    return texts.join(mine, "pmid").select("pmid", F.explode(each).alias("_h")).select("_h.mesh", "pmid", "_h.major", "_h.fuzzy", "_h.n")
 
 
 def postings(hits: DataFrame) -> DataFrame:
@@ -77,7 +104,7 @@ def concept_similarity(src: DataFrame, corpus: DataFrame, lengths: DataFrame, id
 
     src and corpus have (mesh, pmid, cnt). Weights are rounded to six decimals, so that sums are exact.
     """
-    weighted = corpus.join(idfs, "mesh").join(lengths, "pmid").select("mesh", "pmid", in_units(two_poisson(F.col("idf"), F.col("cnt"), F.col("len"))).alias("w"))
+    weighted = keyed_join(corpus, idfs, "mesh", ["pmid"]).join(lengths, "pmid").select("mesh", "pmid", in_units(two_poisson(F.col("idf"), F.col("cnt"), F.col("len"))).alias("w"))
     mine = src.select("mesh", "pmid").distinct().join(weighted, ["mesh", "pmid"]).select("mesh", F.col("pmid").alias("src"), F.col("w").alias("_a"))
     other = weighted.select("mesh", F.col("pmid").alias("rel"), F.col("w").alias("_b"))
     return spread(other, "rel").join(small_or_shuffled(mine), "mesh").groupBy("src", "rel").agg(F.sum(F.col("_a") * F.col("_b")).alias("units"))

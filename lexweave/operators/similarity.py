@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.text import counted
 from lexweave.functions.weights import UNITS, idf, in_units, two_poisson
 from lexweave.operators.blocks import in_blocks
+from lexweave.operators.skew import keyed_join
 from lexweave.session import BROADCAST_ROWS, small_or_shuffled, spread, staged
 
 
 def term_frequencies(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """(doc_id, term, tf): occurrences of every term of every document."""
-    return df.select(F.col(key).alias("doc_id"), F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf, len): occurrences of every term of every row, and all its words; a document is one row.
+
+    They are counted within the row, so that nothing is shuffled. An explode of one element keeps the sorted words a column;
+    else the text would be parsed again for each of their uses.
+    """
+    named = df.select(F.col(key).alias("doc_id"), F.explode(F.array(F.sort_array(words))).alias("_w"))
+    runs = named.select("doc_id", F.size("_w").cast("long").alias("len"), F.explode(counted(F.col("_w"))).alias("_e"))
+    return runs.select("doc_id", "_e.term", "_e.tf", "len")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -42,8 +50,7 @@ def with_ids(terms: DataFrame, col: str = "term", name: str = "term_id", parts:
 
 def weighted(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term, weight): two-Poisson weights of vocabulary terms; lengths count all terms."""
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    joined = tf.join(small_or_shuffled(vocab.select("term", "idf")), "term").join(lengths, "doc_id")
+    joined = keyed_join(tf, vocab.select("term", "idf"), "term", ["doc_id"])
     return joined.select("doc_id", "term", two_poisson(F.col("idf"), F.col("tf"), F.col("len")).alias("weight"))
 
 

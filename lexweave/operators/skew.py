@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.session import table
+from lexweave.session import BROADCAST_ROWS, table
 
 #: A key is split when its load exceeds the mean load of a task by this factor.
 SPLIT_AT = 0.5
@@ -23,11 +25,11 @@ def plan_of(loads: list[tuple[str, int]], total: int, tasks: int) -> list[tuple[
     for key, load in loads:
         n = max(1, -(-load // int(most)))
         pieces += [(load / n, key, n, i) for i in range(n)]
-    filled = [0.0] * tasks
+    filled = [(0.0, t) for t in range(tasks)]  # the light keys load all tasks alike
     out = []
     for load, key, n, i in sorted(pieces, key=lambda p: (-p[0], p[1], p[3])):
-        to = min(range(tasks), key=lambda t: (filled[t], t))
-        filled[to] += load
+        before, to = heappop(filled)
+        heappush(filled, (before + load, to))
         out.append((key, n, i, to))
     return out
 
@@ -102,6 +104,11 @@ def fragment_join(big: DataFrame, small: DataFrame, key: str, spread: list[str],
     return cut.repartitionById(tasks, "__task").join(side.repartitionById(tasks, "__task"), ["__task", key, "__shard"]).drop("__task", "__shard")
 
 
+def keyed_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a skewed side with one row for each key: by broadcast up to `limit` rows, else by fragments of the hot keys."""
+    return big.join(F.broadcast(small), key) if small.count() <= limit else fragment_join(big, small, key, spread)
+
+
 def headings(df: DataFrame) -> DataFrame:
     return df.withColumn("mesh", F.nullif(F.lower(F.trim("mesh")), F.lit("")))
 

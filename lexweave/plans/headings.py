@@ -10,6 +10,7 @@ from lexweave.functions import weights as W
 from lexweave.operators import headings as H
 from lexweave.operators import similarity as S
 from lexweave.operators.current import current_rows
+from lexweave.operators.skew import keyed_join
 from lexweave.plans.matrix import _PROD, matrix, sources
 from lexweave.session import staged, table
 
@@ -40,17 +41,18 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pivot(spark, sf):
-    h = heads(spark, sf)
+    h = staged(heads(spark, sf), "heads")
     return H.relation_pivot(H.relations(h, small(h), ["mesh"]))
 
 
 def _q_pivot(spark, sf):
-    q = quals(spark, sf)
+    q = staged(quals(spark, sf), "quals")
     return H.relation_pivot(H.relations(q, small(q), ["descriptor_name", "qualifier_name"]))
 
 
 def heading_jaccard(spark, sf):
-    return H.ratios(_pivot(spark, sf), H.count_pivot(heads(spark, sf)))
+    h = staged(heads(spark, sf), "heads")
+    return H.jaccard(h, small(h), ["mesh"])
 
 
 def summed_jaccard(spark, sf):
@@ -78,16 +80,17 @@ def synonyms(spark: SparkSession, sf: str) -> DataFrame:
 
 def hits(spark, sf):
     t = texts(spark, sf).filter("abs is not null").select("pmid", F.lower("abs").alias("abs"))
-    return H.synonym_hits(t, heads(spark, sf), synonyms(spark, sf), X.substring_count(F.col("abs"), F.col("fuzzy")))
+    return H.synonym_hits(t, heads(spark, sf), synonyms(spark, sf), X.substring_count)
 
 
 def heading_synonym_sets(spark, sf):
     """Synonym hits with the synonyms of a heading gathered first; each is used as a pattern."""
     sets = synonyms(spark, sf).groupBy("mesh").agg(F.collect_set("fuzzy").alias("all"))
     t = texts(spark, sf).filter("abs is not null").select("pmid", F.lower("abs").alias("abs"))
-    joined = heads(spark, sf).join(sets, "mesh").join(t, "pmid")
-    total = F.aggregate(F.transform("all", lambda f: F.regexp_count("abs", f)), F.lit(0), lambda s, x: s + x)
-    return joined.groupBy("mesh", "pmid", "major").agg(F.sum(total).alias("n"))
+    mine = keyed_join(heads(spark, sf), sets, "mesh", ["pmid"]).groupBy("pmid").agg(F.collect_list(F.struct("mesh", "major", "all")).alias("sets"))
+    total = lambda s: F.aggregate(F.transform(s["all"], lambda f: F.regexp_count("abs", f)), F.lit(0).cast("long"), lambda n, x: n + x)
+    out = t.join(mine, "pmid").select("pmid", F.explode(F.transform("sets", lambda s: F.struct(s["mesh"].alias("mesh"), s["major"].alias("major"), total(s).alias("n")))).alias("h"))
+    return out.select("h.mesh", "pmid", "h.major", "h.n")
 
 
 def concept_inputs(spark, sf):
@@ -175,6 +178,19 @@ def topic_test(spark, sf):
     return p.select("mesh", "pmid", (test(F.col("mesh")) | test(X.sort_words(F.col("mesh"))) | test(F.concat("mesh", F.lit("s")))).alias("is_topic"))
 
 
+def heading_self_join(spark, sf):
+    """(mesh, n_pairs, n_both_major): the pairs of articles that share a heading, joined and counted by heading, self pairs included.
+
+    A heading of a tenth of all rows has pairs without end, so the rows of each heading that join alike, those of the same
+    flag, are counted first, and the counts are joined: the same pairs, none of them made.
+    """
+    groups = heads(spark, sf).groupBy("mesh", "major").agg(F.count(F.lit(1)).alias("n"))
+    other = groups.select("mesh", F.col("major").alias("other_major"), F.col("n").alias("m"))
+    pairs = F.col("n") * F.col("m")
+    joined = groups.join(other, "mesh")
+    return joined.groupBy("mesh").agg(F.sum(pairs).alias("n_pairs"), F.sum(F.when(F.col("major") & F.col("other_major"), pairs).otherwise(0)).alias("n_both_major"))
+
+
 QUERIES = {
     "heading_relations": lambda s, d: (lambda h: H.relations(h, small(h), ["mesh"]))(heads(s, d)),
     "qualifier_relations": lambda s, d: (lambda q: H.relations(q, small(q), ["descriptor_name", "qualifier_name"]))(quals(s, d)),
@@ -186,7 +202,7 @@ QUERIES = {
     "full_outer_counts": lambda s, d: H.summed(H.count_pivot(heads(s, d)), H.count_pivot(quals(s, d)), ["pmid"], ["c0", "c1", "total"]),
     "summed_jaccard": summed_jaccard,
     "heading_rank": heading_rank,
-    "heading_self_join": lambda s, d: heads(s, d).groupBy("mesh").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("n_pairs")),
+    "heading_self_join": heading_self_join,
     "heading_set_groups": lambda s, d: H.set_groups(heads(s, d), "pmid", "mesh").select("joined", F.array_join(F.transform("pmids", lambda p: p.cast("string")), ",").alias("pmids"), "n"),
     "topic_tree": lambda s, d: heads(s, d).groupBy("pmid").agg(F.array_join(F.array_sort(F.collect_set("mesh")), "|").alias("headings")),
     "main_topics": lambda s, d: posts(s, d).filter("major").select("mesh", "pmid", "cnt"),
@@ -260,7 +276,7 @@ SQL = {
     "full_outer_counts": f"with {_HEADS}, {_QUALS} select * from {_COUNTS}",
     "summed_jaccard": f"with {_HEADS}, {_QUALS} select * from {_ratio(_sum(_piv(_HR), _piv(_QR), 'pmid, related', _V), _COUNTS)}",
     "heading_rank": f"with {_HEADS} select pmid, related, ratio, rank() over (partition by pmid order by ratio desc) as rank from {_JACCARD} qualify rank <= {RELATED}",
-    "heading_self_join": f"with {_HEADS} select a.mesh, count(*) * count(*) n_pairs from heads a group by 1",
+    "heading_self_join": f"with {_HEADS} select mesh, count(*) n_pairs, count(*) filter (a.major and b.major) n_both_major from heads a join heads b using (mesh) group by 1",
     "heading_set_groups": f"with {_HEADS}, s as (select pmid, string_agg(mesh, '|' order by mesh) joined from heads group by pmid) select joined, string_agg(pmid, ',' order by pmid) pmids, count(*) n from s group by joined",
     "topic_tree": f"with {_HEADS} select pmid, string_agg(mesh, '|' order by mesh) headings from heads group by pmid",
     "main_topics": f"with {_POSTS} select mesh, pmid, cnt from posts where major",

@@ -9,6 +9,7 @@ from lexweave.functions import text as X
 from lexweave.functions import weights as W
 from lexweave.operators import similarity as S
 from lexweave.operators.current import current_rows
+from lexweave.operators.skew import keyed_join
 from lexweave.session import small_or_shuffled, staged, table
 
 MIN_DF, TOP_TERMS, K, CEILING = 10, 500, 101, 1000
@@ -19,6 +20,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tf_of(spark: SparkSession, sf: str) -> DataFrame:
+    return tf_and_length(spark, sf).drop("len")
+
+
+def tf_and_length(spark: SparkSession, sf: str) -> DataFrame:
     return S.term_frequencies(documents(spark, sf), "doc_id", X.terms(F.col("text")))
 
 
@@ -44,7 +49,7 @@ def vocab_of(spark: SparkSession, sf: str, tf: DataFrame) -> DataFrame:
 def bag_of_words(spark, sf):
     docs = documents(spark, sf).select("doc_id", F.split("text", "\n", 2).alias("p"))
     title, body = (X.drop_stop_words(X.terms(F.coalesce(F.get("p", F.lit(i)), F.lit("")))) for i in (0, 1))
-    return S.term_frequencies(docs.withColumn("words", F.concat(title, body)), "doc_id", F.col("words"))
+    return S.term_frequencies(docs.withColumn("words", F.concat(title, body)), "doc_id", F.col("words")).drop("len")
 
 
 def idf_variants(spark, sf):
@@ -60,14 +65,14 @@ def corpus_counts(spark, sf):
 
 
 def term_weight(spark, sf):
-    tf = staged(tf_of(spark, sf), "tf")
+    tf = staged(tf_and_length(spark, sf), "tf")
     return S.weighted(tf, vocab_of(spark, sf, tf)).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
 def weight_by_words(spark, sf):
     tf = staged(tf_of(spark, sf), "tf")
     length = documents(spark, sf).select("doc_id", X.word_count(F.col("text")).alias("len"))
-    out = tf.join(vocab_of(spark, sf, tf), "term").join(length, "doc_id")
+    out = keyed_join(tf, vocab_of(spark, sf, tf), "term", ["doc_id"]).join(length, "doc_id")
     return out.select("doc_id", "term", F.round(W.two_poisson(F.col("idf"), F.col("tf"), F.col("len")), 9).alias("weight"), F.round(W.tf_idf_by_length(F.col("idf"), F.col("tf"), F.col("len")), 9).alias("tf_idf"))
 
 
@@ -77,10 +82,10 @@ def term_ids(spark, sf):
 
 
 def sparse_matrix(spark, sf):
-    tf = staged(tf_of(spark, sf), "tf")
+    tf = staged(tf_and_length(spark, sf), "tf")
     vocab = vocab_of(spark, sf, tf)
     ids = S.with_ids(vocab.select("term"))
-    return S.weighted(tf, vocab).join(ids, "term").select("term_id", "doc_id", F.round("weight", 6).alias("weight"))
+    return keyed_join(S.weighted(tf, vocab), ids, "term", ["doc_id"]).select("term_id", "doc_id", F.round("weight", 6).alias("weight"))
 
 
 def encode_docs(spark, sf):
