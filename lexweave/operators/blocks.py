@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import parts_of
+
 #: Queries in a block, and the most queries whose blocks are broadcast.
 BLOCK, BROADCAST_QUERIES = 256, 20_000
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, block: int = BLOCK, limit: int = BROADCAST_QUERIES, parts: int = 64) -> DataFrame:
+def in_blocks(queries: DataFrame, rows: DataFrame, block: int = BLOCK, limit: int = BROADCAST_QUERIES, parts: int | None = None) -> DataFrame:
     """rows with a column `block` of up to about `block` queries (structs of their columns), once for each block.
 
-    Blocks of up to `limit` queries are broadcast. More are copied to `parts` parts of the rows, so that every row meets
-    every block in the part that it is in.
+    Blocks of up to `limit` queries are broadcast. More are copied to `parts` parts of the rows, as many as a shuffle has
+    unless given, so that every row meets every block in the part that it is in.
     """
+    parts = parts or parts_of(rows.sparkSession)
     n = queries.count()
     packed = queries.select(F.struct(*queries.columns).alias("_q")).groupBy(F.pmod(F.xxhash64("_q"), F.lit(max(1, -(-n // block)))).alias("_g"))
     blocks = packed.agg(F.collect_list("_q").alias("block")).drop("_g")

@@ -9,7 +9,7 @@ from lexweave.functions.text import counted
 from lexweave.functions.weights import UNITS, idf, in_units, two_poisson
 from lexweave.operators.blocks import in_blocks
 from lexweave.operators.skew import keyed_join
-from lexweave.session import BROADCAST_ROWS, small_or_shuffled, spread, staged
+from lexweave.session import is_small, parts_of, small_or_shuffled, spread, staged
 
 
 def term_frequencies(df: DataFrame, key: str, words: Column) -> DataFrame:
@@ -36,12 +36,12 @@ def vocabulary(df: DataFrame, n_docs: int, min_df: int | None = None, top: int |
     return out.select("term", "df", idf(F.lit(n_docs), F.col("df")).alias("idf"))
 
 
-def with_ids(terms: DataFrame, col: str = "term", name: str = "term_id", parts: int = 64) -> DataFrame:
+def with_ids(terms: DataFrame, col: str = "term", name: str = "term_id", parts: int | None = None) -> DataFrame:
     """`terms` with a dense number from 0 in the order of `col`, without sorting everything in one task.
 
     The values are range-partitioned; only the number of values of each range is summed over all.
     """
-    ranged = staged(terms.repartitionByRange(parts, col).withColumn("_p", F.spark_partition_id()), "ranged")
+    ranged = staged(terms.repartitionByRange(parts or parts_of(terms.sparkSession), col).withColumn("_p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(col))
@@ -64,7 +64,7 @@ def product(mat: DataFrame, sources: DataFrame, term: str = "term_id", doc: str
     """
     a = sources.select(F.col(term).alias("_t"), F.col(doc).alias("src"), in_units(F.col(weight)).alias("_a")).filter("_a is not null")
     b = mat.select(F.col(term).alias("_t"), F.col(doc).alias("rel"), in_units(F.col(weight)).alias("_b")).filter("_b is not null")
-    if a.count() <= BROADCAST_ROWS:
+    if is_small(a):
         a, b = F.broadcast(a), spread(b, "rel")
     return b.join(a, "_t").groupBy("src", "rel").agg(F.sum(F.col("_a") * F.col("_b")).alias("units"))
 

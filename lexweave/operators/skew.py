@@ -7,7 +7,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.session import BROADCAST_ROWS, table
+from lexweave.session import BROADCAST_ROWS, is_small, parts_of, table
 
 #: A key is split when its load exceeds the mean load of a task by this factor.
 SPLIT_AT = 0.5
@@ -64,7 +64,7 @@ def fragments(df: DataFrame, key: str, spread: list[str], tasks: int) -> tuple[D
 
 
 def tasks_of(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    return max(parts_of(spark), 2)
 
 
 def per_key(df: DataFrame, key: str, record: str, tasks: int | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def fragment_join(big: DataFrame, small: DataFrame, key: str, spread: list[str],
 
 def keyed_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of a skewed side with one row for each key: by broadcast up to `limit` rows, else by fragments of the hot keys."""
-    return big.join(F.broadcast(small), key) if small.count() <= limit else fragment_join(big, small, key, spread)
+    return big.join(F.broadcast(small), key) if is_small(small, limit) else fragment_join(big, small, key, spread)
 
 
 def headings(df: DataFrame) -> DataFrame:
