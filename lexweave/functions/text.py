@@ -116,6 +116,11 @@ def part_name(number: Column) -> Column:
     return F.concat(F.lit("part-"), F.lpad(number.cast("string"), 5, "0"))
 
 
+def has_scheme(path: Column, scheme: str) -> Column:
+    """Whether a path begins with the name of a file system."""
+    return path.startswith(scheme)
+
+
 def is_ascii(text: Column) -> Column:
     return text.rlike(r"\A[\x00-\x7F]*\z")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lexweave.plans.matrix", "lexweave.plans.headings", "lexweave.plans.texts", "lexweave.plans.relational", "lexweave.plans.latent", "lexweave.plans.sources", "lexweave.plans.tagging", "lexweave.operators.rejects", "lexweave.operators.skew"]
+MODULES = ["lexweave.plans.matrix", "lexweave.plans.headings", "lexweave.plans.texts", "lexweave.plans.relational", "lexweave.plans.latent", "lexweave.plans.sources", "lexweave.plans.tagging", "lexweave.plans.connectors", "lexweave.operators.rejects", "lexweave.operators.skew"]
 
 
 def _all(what: str) -> dict:

@@ -52,4 +52,36 @@ def stem_df(s, d):
 
 
 QUERIES = {"trie_phrases": trie_phrases, "cascade_match": cascade_match, "concept_annotation": annotated, "porter_stem": stems, "stem_df": stem_df}
-SQL: dict[str, str] = {}
+
+
+def SQL() -> dict[str, str]:
+    from lexweave.plans.headings import _HEADS
+
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
+    norm = lambda c: rf"trim(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+    forms = {
+        "exact": lambda c: c,
+        "norm": norm,
+        "sorted": lambda c: f"array_to_string(list_sort(string_split({norm(c)}, ' ')), ' ')",
+        "analysed": lambda c: f"array_to_string(list_sort(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: w not in ({stops}))), ' ')",
+    }
+    dictionary = f"{_HEADS}, dict as (select row_number() over (order by mesh) cui, mesh str from (select distinct mesh from heads))"
+    hits = " union all ".join(
+        f"select phrase, {i} lv, '{level}' as level, {worth} worth, d.cui, d.str from p join (select {forms[level]('str')} k, min(cui) cui, arg_min(str, cui) str from dict group by 1) d on d.k = {forms[level]('phrase')} where d.k <> ''"
+        for i, (level, worth) in enumerate(G.LEVELS)
+    )
+    words = "len(string_split({}, ' '))"
+    n, m = words.format("phrase"), words.format("str")
+    return {
+        "cascade_match": f"with {dictionary}, p as (select distinct replace(mesh, '/', ' of ') phrase from mesh_heading where mesh is not null), h as ({hits}) select phrase, level, cui, worth * least({n}, {m}) / greatest({n}, {m}) score from h qualify row_number() over (partition by phrase order by lv) = 1",
+        "trie_phrases": f"""with recursive {dictionary}, w as (select pmid, string_split(lower(trim(mesh, ' ')), ' ') w from mesh_heading where mesh is not null),
+t as (select pmid, list_filter(flatten(list(w order by w)), lambda x: true) ws from w group by pmid),
+e as (select array_to_string(list_filter(regexp_split_to_array(str, '\s+'), lambda x: x <> ''), ' ') run, len(list_filter(regexp_split_to_array(str, '\s+'), lambda x: x <> '')) size, max(cui) id from dict group by 1, 2),
+z as (select distinct size from e where size > 0), pl as (select pmid, ws, unnest(range(1, len(ws) + 1)) i from t),
+c as (select pmid, i, e.size, e.id from pl, z, e where e.size = z.size and i + z.size - 1 <= len(ws) and e.run = array_to_string(ws[i:i + z.size - 1], ' ')),
+b as (select pmid, i, max(size) size, arg_max(id, size) id from c group by 1, 2),
+nx as (select pmid, i, size, id, i + size as after from b),
+step as (select a.pmid, a.i, a.after, a.id, min(n.i) nxt from nx a left join nx n on n.pmid = a.pmid and n.i >= a.after group by all),
+walk as (select s.pmid, s.i, s.id, s.nxt from step s where s.i = (select min(i) from nx where nx.pmid = s.pmid) union all select s.pmid, s.i, s.id, s.nxt from walk join step s on s.pmid = walk.pmid and s.i = walk.nxt)
+select pmid, cast(id as int) phrase_id from walk""",
+    }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,20 @@ def neighbours(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, schemas.NEIGHBOUR)
 
 
+def fetched_neighbours(ids: DataFrame, ask: Callable[[int], list[tuple[int, int, str]]]) -> DataFrame:
+    """(src_pmid, rel_pmid, score, link_name) of what a service answers for each distinct id: (rel, score, link) tuples.
+
+    Tasks ask for their own ids. An id that the service doesn't know gives no rows.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(int(i), *found) for i in part["pmid"] for found in ask(int(i))]
+            yield pd.DataFrame(rows, columns=["src_pmid", "rel_pmid", "score", "link_name"])
+
+    return ids.select("pmid").dropna().distinct().mapInPandas(run, schemas.NEIGHBOUR)
+
+
 def headings(spark: SparkSession, path: str) -> DataFrame:
     rows = tsv(spark, path, schemas.HEADING)
     return rows.select("pmid", "mesh", yes_no(F.col("major")).alias("major"))
