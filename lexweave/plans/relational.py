@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import similarity as S
+from lexweave.operators.skew import keyed_join
 from lexweave.plans.headings import heads, quals, texts
 from lexweave.plans.matrix import matrix
-from lexweave.session import small_or_shuffled, table
+from lexweave.session import small_or_shuffled, staged, table
 
 CHUNK = 50
 #: Rows that the scan before an exclusion takes at most, as in the reference.
@@ -77,12 +78,18 @@ def pair_lookup(s, d):
 
 
 def composite(s, d):
-    """Scored pairs with their shared headings, joined on both ids."""
-    h = heads(s, d)
+    """Scored pairs with the number of headings they share, joined on both ids; pairs that share none are left out.
+
+    The headings of an article go along as one array of numbers, so that no pair is multiplied by them.
+    """
+    h = staged(heads(s, d).select("pmid", "mesh"), "heads")
+    numbers = S.with_ids(h.select("mesh").distinct(), "mesh", "at").select("mesh", F.col("at").cast("int").alias("at"))
+    sets = staged(keyed_join(h, numbers, "mesh", ["pmid"]).groupBy("pmid").agg(F.collect_list("at").alias("own")), "sets")
     pairs = best_scores(s, d).select(F.col("src_pmid").alias("pmid"), "rel_pmid", "score")
-    left = pairs.join(h.select("pmid", "mesh"), "pmid")
-    shared = left.join(h.select(F.col("pmid").alias("rel_pmid"), "mesh"), ["rel_pmid", "mesh"])
-    return shared.groupBy("pmid", "rel_pmid", "score").agg(F.count(F.lit(1)).alias("n_shared"))
+    left = keyed_join(pairs, sets, "pmid", ["rel_pmid"])
+    both = keyed_join(left, sets.select(F.col("pmid").alias("rel_pmid"), F.col("own").alias("other")), "rel_pmid", ["pmid"])
+    out = both.select("pmid", "rel_pmid", "score", F.size(F.array_intersect("own", "other")).cast("long").alias("n_shared"))
+    return out.filter("n_shared > 0")
 
 
 def exclude_known(s, d):
