@@ -154,7 +154,8 @@ def _scores(spark: SparkSession, sf_dir: str) -> str:
         status = at.getFileSystem(conf).getFileStatus(at)
         version.append((f, status.getLen(), status.getModificationTime()))
     key = (spark.sparkContext.applicationId, *version)
-    if key not in _kept:
+    at = jvm.org.apache.hadoop.fs.Path(f"{_kept[key]}/_SUCCESS") if key in _kept else None
+    if at is None or not at.getFileSystem(conf).exists(at):
         _kept[key] = clustered(df, "src_pmid", "rel_pmid", "score")
     return _kept[key]
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lexweave.llm import topn as Q
+from lexweave.session import drop_staged
 
 
 def brute(data, n):
@@ -59,4 +60,7 @@ def test_a_kept_copy_is_asked_again(spark):
 
 
 def test_the_copy_of_a_table_is_kept(spark, sf):
-    assert Q._scores(spark, sf) == Q._scores(spark, sf)
+    first = Q._scores(spark, sf)
+    assert Q._scores(spark, sf) == first
+    drop_staged()
+    assert Q._scores(spark, sf) != first and Q.p7_found(spark, sf).count() > 0
