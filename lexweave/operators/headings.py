@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.weights import in_units, overlap_ratio, two_poisson
 from lexweave.operators.skew import keyed_join
-from lexweave.session import small_or_shuffled, spread
+from lexweave.session import small_or_shuffled, spread, staged
 
 FLAGS = [(False, False), (False, True), (True, False), (True, True)]
 
@@ -43,26 +43,21 @@ def count_pivot(heads: DataFrame) -> DataFrame:
     return heads.groupBy("pmid").agg(one(False).alias("c0"), one(True).alias("c1"), F.count(F.lit(1)).alias("total"))
 
 
-def ratios(pivot: DataFrame, counts: DataFrame) -> DataFrame:
-    """(pmid, related, r00, r01, r10, r11, ratio): shared headings over those in either record, 0 for a zero denominator."""
-    a = counts.select("pmid", F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("total").alias("a"))
+def ratios(pivot: DataFrame, counts: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(pmid, related, r00, r01, r10, r11, ratio): shared headings over those in either record, 0 for a zero denominator.
+
+    own has the counts of the first records, if fewer are known to do. The pairs lie by their second record, so that its
+    counts are joined where the pairs are, and those of the first are few.
+    """
+    a = (counts if own is None else own).select("pmid", F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("total").alias("a"))
     b = counts.select(F.col("pmid").alias("related"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("total").alias("b"))
-    both = pivot.join(small_or_shuffled(a), "pmid").join(b, "related")
-    return both.select("pmid", "related", *_ratio_columns())
+    return pivot.join(small_or_shuffled(a), "pmid").join(small_or_shuffled(b), "related").select("pmid", "related", *_ratio_columns())
 
 
 def jaccard(heads: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """(pmid, related, r00, r01, r10, r11, ratio) as ratios(relation_pivot(relations(...)), count_pivot(heads)) gives it.
-
-    The counts of a record go along with its headings, so that the pairs, many times their rows, aren't shuffled for them.
-    """
-    counts = count_pivot(heads)
-    a = small.select("pmid", *keys, "major").join(counts.select("pmid", F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("total").alias("a")), "pmid")
-    b = heads.join(counts, "pmid").select(F.col("pmid").alias("related"), *keys, F.col("major").alias("related_major"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("total").alias("b"))
-    cell = lambda x, y: F.sum(((F.col("major") == x) & (F.col("related_major") == y)).cast("long")).alias(f"c{int(x)}{int(y)}")
-    of = ["a0", "a1", "a", "b0", "b1", "b"]
-    both = spread(b, "related").join(small_or_shuffled(a), keys).groupBy("pmid", "related").agg(*[cell(x, y) for x, y in FLAGS], F.count(F.lit(1)).alias("total"), *[F.max(c).alias(c) for c in of])
-    return both.select("pmid", "related", *_ratio_columns())
+    """(pmid, related, r00, r01, r10, r11, ratio) of the pairs of relations(heads, small, keys)."""
+    counts = staged(count_pivot(heads), "counts")
+    return ratios(relation_pivot(relations(heads, small, keys)), counts, counts.join(small_or_shuffled(small.select("pmid").distinct()), "pmid", "left_semi"))
 
 
 def _ratio_columns() -> list[Column]:

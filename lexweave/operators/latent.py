@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.weights import dot, normalised
-from lexweave.operators.blocks import in_blocks
+from lexweave.operators.blocks import BLOCK, BROADCAST_QUERIES, in_blocks
 from lexweave.operators.similarity import ranked
 from lexweave.session import staged
 
@@ -144,18 +144,49 @@ def dense_gram(vectors: DataFrame, d: int, vec: str = "vec") -> np.ndarray:
     return out
 
 
-def similar_vectors(vectors: DataFrame, sources: DataFrame, k: int, cosine: bool = True, decimals: int = 6) -> DataFrame:
+def _best_of_batch(shared, k: int, slack: float):
+    """(src, rel, score): of each query the k best rows of a batch, and those that tie with them but for `slack`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rel = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rel), -1)
+            for at in range(0, len(ids), BLOCK):
+                score = rows @ queries[at : at + BLOCK].T
+                known = ~np.isnan(score)
+                score[~known] = -np.inf
+                if len(rel) > k:
+                    known &= score >= np.partition(score, len(rel) - k, axis=0)[len(rel) - k] - slack
+                r, c = np.nonzero(known)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + BLOCK][c]), pa.array(rel[r]), pa.array(score[r, c])], names=["src", "rel", "score"])
+
+    return run
+
+
+def similar_vectors(vectors: DataFrame, sources: DataFrame, k: int, cosine: bool = True, decimals: int = 6, limit: int = BROADCAST_QUERIES) -> DataFrame:
     """(src, rel, score, rank): the k most similar vectors of each of a stated set of sources.
 
-    Both tables have (id, vec). The sources are gathered into blocks, and each block is held against every vector in the JVM.
-    Scores are rounded before they are ranked; ties go to the smaller id. Null vectors are left out, and zero vectors have
-    no cosine.
+    Both tables have (id, vec), vectors of one length. Up to `limit` sources are sent to the workers and held against every
+    vector by products of blocks, of which only the best of each batch leave the task; more sources are held in blocks against
+    every vector in the JVM. Scores are rounded before they are ranked; ties go to the smaller id. Null vectors are left
+    out, and zero vectors have no cosine.
     """
     shape = (lambda c: normalised(F.col(c))) if cosine else (lambda c: F.col(c))
     a = sources.filter("vec is not null").select(F.col("id").alias("src"), shape("vec").alias("v"))
     b = vectors.filter("vec is not null").select(F.col("id").alias("rel"), shape("vec").alias("_v"))
-    pairs = in_blocks(a, b).select("rel", "_v", F.explode("block").alias("s"))
-    scored = pairs.select("s.src", "rel", F.round(dot(F.col("s.v"), F.col("_v")), decimals).alias("score")).filter("not isnan(score)")
+    if a.count() <= limit:
+        own = a.toPandas()
+        queries = np.stack(own["v"].to_numpy()).astype(np.float64) if len(own) else np.zeros((0, 0))
+        shared = vectors.sparkSession.sparkContext.broadcast((own["src"].to_numpy(), queries))
+        kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((a, "src"), (b, "rel"))}
+        scored = b.mapInArrow(_best_of_batch(shared, k, 2 * 10.0**-decimals), f"src {kinds['src']}, rel {kinds['rel']}, score double")
+        scored = scored.withColumn("score", F.round("score", decimals))
+    else:
+        pairs = in_blocks(a, b).select("rel", "_v", F.explode("block").alias("s"))
+        scored = pairs.select("s.src", "rel", F.round(dot(F.col("s.v"), F.col("_v")), decimals).alias("score")).filter("not isnan(score)")
     return ranked(scored, "src", "score", k, "row_number", "rel")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from lexweave.operators.similarity import with_ids
 from lexweave.operators.skew import keyed_join
 from lexweave.session import is_small, small_or_shuffled
 
@@ -64,7 +65,7 @@ def table_lines(df: DataFrame, order: str) -> DataFrame:
     width = {c: max(len(c), most[c] or 0) for c in df.columns}
     drawn = lambda parts, sep: F.concat(F.lit(sep), *[x for p in parts for x in (p, F.lit(sep))])
     rule = drawn([F.lit("-" * w) for w in width.values()], "+")
-    body = cells.select((F.row_number().over(Window.orderBy("_o")) + 3).cast("long").alias("i"), drawn([F.rpad(c, w, " ") for c, w in width.items()], "|").alias("line"))
+    body = with_ids(cells, "_o", "_i").select((F.col("_i") + 4).alias("i"), drawn([F.rpad(c, w, " ") for c, w in width.items()], "|").alias("line"))
     n = df.count()
     one = df.sparkSession.range(1)
     head = [(1, rule), (2, drawn([F.lit(c.ljust(w)) for c, w in width.items()], "|")), (3, rule), (n + 4, rule)]

@@ -40,7 +40,7 @@ def annotated(s, d):
 
 
 def stems(s, d):
-    words = table(s, d, "documents").filter("lang = 'en'").select(F.explode(X.terms(F.col("text"))).alias("word")).distinct()
+    words = table(s, d, "documents").select(F.explode(X.terms(F.col("text"))).alias("word")).distinct()
     return words.select("word", porter("word").alias("stem"))
 
 

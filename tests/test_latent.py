@@ -66,3 +66,20 @@ def test_blocks_and_grams(spark):
     assert got[99] is None and all(got[i] == pytest.approx((x @ block)[i]) for i in range(12))
     top = L.top_documents(df.filter("vec is not null").withColumnRenamed("id", "doc_id"), 1).collect()
     assert {r.concept: r.doc_id for r in top} == dict(enumerate(np.abs(x).argmax(axis=0).tolist()))
+
+
+@pytest.mark.parametrize("cosine", [True, False])
+def test_similar_vectors_either_way(spark, cosine):
+    rnd = random.Random(3)
+    data = [(i, [float(rnd.randrange(-2, 3)) for _ in range(3)]) for i in range(400)] + [(400, [0.0, 0.0, 0.0]), (401, None)]
+    df = spark.createDataFrame(data, "id long, vec array<double>").repartition(5)
+    run = lambda limit: sorted(tuple(r) for r in L.similar_vectors(df, df.filter("id % 20 = 0"), 7, cosine, limit=limit).collect())
+    want = {}
+    for s, a in data[:401:20]:
+        rows = []
+        for r, b in data[:401]:
+            n = (np.linalg.norm(a) * np.linalg.norm(b)) if cosine else 1.0
+            if n:
+                rows.append((-round(float(np.dot(a, b)) / n, 6) + 0.0, r))
+        want |= {(s, r): k + 1 for k, (_, r) in enumerate(sorted(rows)[:7])}
+    assert run(20_000) == run(0) and {(s, r): k for s, r, _, k in run(20_000)} == want
