@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import counted
 from lexweave.functions.weights import UNITS, idf, in_units, two_poisson
 from lexweave.operators.blocks import in_blocks
-from lexweave.operators.skew import keyed_join
+from lexweave.operators.skew import fragment_join, keyed_join
 from lexweave.session import is_small, parts_of, small_or_shuffled, spread, staged
 
 
@@ -60,13 +60,12 @@ def product(mat: DataFrame, sources: DataFrame, term: str = "term_id", doc: str
     Both tables have (term, doc, weight); a term may have any number of rows on either side. Weights are rounded to six
     decimals first, so that sums are exact and ties are the same every time. The matrix is spread by its documents, so that
     the products, many times its rows, are summed where they arise, if the side of the sources is small enough to be
-    broadcast; beyond that the join is shuffled and skewed terms are split at run time. Null weights are left out.
+    broadcast; beyond that the join is shuffled, common terms in fragments. Null weights are left out.
     """
     a = sources.select(F.col(term).alias("_t"), F.col(doc).alias("src"), in_units(F.col(weight)).alias("_a")).filter("_a is not null")
     b = mat.select(F.col(term).alias("_t"), F.col(doc).alias("rel"), in_units(F.col(weight)).alias("_b")).filter("_b is not null")
-    if is_small(a):
-        a, b = F.broadcast(a), spread(b, "rel")
-    return b.join(a, "_t").groupBy("src", "rel").agg(F.sum(F.col("_a") * F.col("_b")).alias("units"))
+    joined = spread(b, "rel").join(F.broadcast(a), "_t") if is_small(a) else fragment_join(b, a, "_t", ["rel"])
+    return joined.groupBy("src", "rel").agg(F.sum(F.col("_a") * F.col("_b")).alias("units"))
 
 
 def score(units: Column) -> Column:

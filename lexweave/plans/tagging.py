@@ -70,10 +70,32 @@ def SQL() -> dict[str, str]:
         f"select phrase, {i} lv, '{level}' as level, {worth} worth, d.cui, d.str from p join (select {forms[level]('str')} k, min(cui) cui, arg_min(str, cui) str from dict group by 1) d on d.k = {forms[level]('phrase')} where d.k <> ''"
         for i, (level, worth) in enumerate(G.LEVELS)
     )
+    split = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
+    plain = lambda c: split.format(rf"regexp_replace(lower({c}), '[^\pL\pN\s]', ' ', 'g')")
+    runs = {
+        "exact": lambda c: c,
+        "norm": lambda c: f"array_to_string({plain(c)}, ' ')",
+        "sorted": lambda c: f"array_to_string(list_sort({plain(c)}), ' ')",
+        "analysed": lambda c: f"array_to_string(list_sort(list_filter({plain(c)}, lambda w: w not in ({stops}))), ' ')",
+    }
+    run_hits = " union all ".join(
+        f"select t, {i} lv, {worth} worth, d.cui, d.str from ts join (select {runs[level]('str')} k, min(cui) cui, arg_min(str, cui) str from dict group by 1) d on d.k = {runs[level]('t')} where d.k <> ''"
+        for i, (level, worth) in enumerate(G.LEVELS)
+    )
+    size = f"len({split})"
     words = "len(string_split({}, ' '))"
     n, m = words.format("phrase"), words.format("str")
     return {
         "cascade_match": f"with {dictionary}, p as (select distinct replace(mesh, '/', ' of ') phrase from mesh_heading where mesh is not null), h as ({hits}) select phrase, level, cui, worth * least({n}, {m}) / greatest({n}, {m}) score from h qualify row_number() over (partition by phrase order by lv) = 1",
+        "concept_annotation": f"""with recursive {dictionary}, hp as (select pmid, regexp_replace(mesh, '[/ ]', ' and ', 'g') phrase from heads),
+w as (select phrase, {split.format("phrase")} ws from (select distinct phrase from hp)), s as (select phrase, ws, unnest(range(1, len(ws) + 1)) i from w),
+r as (select phrase, len(ws) l, i, unnest(range(1, len(ws) - i + 2)) n, ws from s), rt as (select phrase, l, i, n, array_to_string(ws[i:i + n - 1], ' ') t from r),
+ts as (select distinct t from rt), h as ({run_hits}), b as (select t, cui, worth * least({size.format("t")}, {size.format("str")}) / greatest({size.format("t")}, {size.format("str")}) score from h qualify row_number() over (partition by t order by lv) = 1),
+c as (select phrase, l, n, t, cui, score, ((1::bigint << n::int) - 1) << (i - 1)::int bits, row_number() over (partition by phrase order by n desc, i) k from rt join b using (t)),
+walk as (select phrase, k, t, cui, score, bits mask, n = l whole, true acc from c where k = 1 union all
+  select c.phrase, c.k, c.t, c.cui, c.score, case when (walk.mask & c.bits) <> c.bits then walk.mask | c.bits else walk.mask end, false, (walk.mask & c.bits) <> c.bits from walk join c on c.phrase = walk.phrase and c.k = walk.k + 1 and not walk.whole),
+f as (select phrase, cui, arg_min(t, k) matched, arg_min(score, k) score from walk where acc group by 1, 2)
+select pmid, phrase, matched, cui, score from hp join f using (phrase)""",
         "trie_phrases": f"""with recursive {dictionary}, w as (select pmid, string_split(lower(trim(mesh, ' ')), ' ') w from mesh_heading where mesh is not null),
 t as (select pmid, list_filter(flatten(list(w order by w)), lambda x: true) ws from w group by pmid),
 e as (select array_to_string(list_filter(regexp_split_to_array(str, '\s+'), lambda x: x <> ''), ' ') run, len(list_filter(regexp_split_to_array(str, '\s+'), lambda x: x <> '')) size, max(cui) id from dict group by 1, 2),

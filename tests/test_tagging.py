@@ -48,3 +48,15 @@ def test_joined_taggers_find_what_those_in_memory_do(spark):
     inmem = {r.pmid: r.c for r in docs.select("pmid", annotator(entries)("t").alias("c")).collect()}
     joined = {r.pmid: r.concepts for r in annotated(docs, "t", spark.createDataFrame(entries, "cui long, str string")).collect()}
     assert {k: v for k, v in inmem.items() if v} == {k: v for k, v in joined.items() if v}
+
+
+def test_golden_stems(spark, tmp_path):
+    """Documents of each stem of the titles, and the stems of all words of all documents, whatever their language."""
+    t = datetime.datetime(2020, 1, 1)
+    titles = [(1, "Caresses of ponies", None, t), (2, "A pony agreed; cats matting", None, t), (3, "CATS and a caress", None, t), (3, "An older title", None, t - datetime.timedelta(1)), (4, None, "x", t)]
+    spark.createDataFrame(titles, "pmid int, title string, abs string, loaded_at timestamp").write.parquet(str(tmp_path / "abstracts.parquet"))
+    docs = [(1, "relational cats", "en"), (2, "Cats, hopping", None), (3, None, "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    q = registry.queries()
+    assert {r.stem: r.df for r in q["stem_df"](spark, str(tmp_path)).collect()} == {"caress": 2, "of": 1, "poni": 2, "agre": 1, "cat": 2, "mat": 1, "and": 1}
+    assert {r.word: r.stem for r in q["porter_stem"](spark, str(tmp_path)).collect()} == {"relational": "relat", "cats": "cat", "hopping": "hop"}
