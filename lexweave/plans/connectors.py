@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -24,6 +25,7 @@ SHARE, SEED = 0.2, "7"
 
 def _database(s) -> str:
     """An embedded database in the staging folder; other databases take another URL."""
+    s.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     return f"jdbc:derby:{_local(stage_path(s, 'db'))};create=true"
 
 
@@ -166,13 +168,15 @@ def report_files(s, d):
     return s.read.text(path).select(F.col("src_pmid").cast("int").alias("src_pmid"), "value")
 
 
-def console_stream(s, d):
-    """(n_lines): lines of new files that a stream printed."""
+def printed_stream(s, d):
+    """(n_lines, n_batches): lines of new files that went through a stream, and the batches whose first lines it showed."""
     inbox, check = stage_path(s, "inbox"), stage_path(s, "check")
     W.text(table(s, d, "feed_line").select(F.regexp_replace(F.coalesce("line", F.lit("")), r"[\n\r]", " ").alias("value")), inbox)
-    query = requests.console(s, inbox, check)
+    shown: list[str] = []
+    query = requests.printed(s, inbox, check, shown.append)
     query.awaitTermination()
-    return s.createDataFrame([(sum(p["numInputRows"] for p in query.recentProgress),)], "n_lines long")
+    sizes = [int(x.split()[2]) for x in shown if re.fullmatch(r"Batch \d+: \d+ lines", x)]
+    return s.createDataFrame([(sum(sizes), len(sizes))], "n_lines long, n_batches long")
 
 
 def bernoulli(s, d):
@@ -206,7 +210,7 @@ QUERIES = {
     "store_puts": store_puts,
     "annotation_word_list": annotation_word_list,
     "report_files": report_files,
-    "console_stream": console_stream,
+    "printed_stream": printed_stream,
     "bernoulli_sample": bernoulli,
     "row_lookup": row_lookup,
     "path_scheme": lambda s, d: table(s, d, "feed_line").select("line_id", X.has_scheme(F.col("file_name"), "hdfs").alias("hdfs"), X.has_scheme(F.concat(F.lit("hdfs://"), "file_name"), "hdfs").alias("with_scheme")),
@@ -239,7 +243,7 @@ def SQL() -> dict[str, str]:
         "store_puts": "select src_pmid, rel_pmid, max(score) score from pp_score where score is not null and not isnan(score) group by 1, 2",
         "annotation_word_list": f"with {_HEADS} select distinct pmid, word from (select pmid, unnest(string_split(mesh, ' ')) word from heads) where word <> ''",
         "report_files": f"with {_NB} select src_pmid, row_number() over (partition by src_pmid order by score desc, rel_pmid) || chr(9) || rel_pmid as value from nbr qualify row_number() over (partition by src_pmid order by score desc, rel_pmid) <= 3",
-        "console_stream": "select count(*) n_lines from feed_line",
+        "printed_stream": "select count(*) n_lines, cast(count(*) > 0 as bigint) n_batches from feed_line",
         "bernoulli_sample": f"select pmid, mesh, major from mesh_heading where pmid is not null and mesh is not null and major is not null and cast('0x' || left(md5(concat_ws(chr(1), pmid, mesh, major, '{SEED}')), 8) as bigint) < {int(SHARE * (1 << 32))}",
         "row_lookup": "with u as (select unnest(embedding) x, unnest(range(len(embedding))) i from embeddings where vec_id = 3) select cast(i as int) i, round(cast(x as double), 6) x from u",
         "path_scheme": "select line_id, starts_with(file_name, 'hdfs') hdfs, starts_with('hdfs://' || file_name, 'hdfs') with_scheme from feed_line",

@@ -96,7 +96,7 @@ walk as (select phrase, k, t, cui, score, bits mask, n = l whole, true acc from
   select c.phrase, c.k, c.t, c.cui, c.score, case when (walk.mask & c.bits) <> c.bits then walk.mask | c.bits else walk.mask end, false, (walk.mask & c.bits) <> c.bits from walk join c on c.phrase = walk.phrase and c.k = walk.k + 1 and not walk.whole),
 f as (select phrase, cui, arg_min(t, k) matched, arg_min(score, k) score from walk where acc group by 1, 2)
 select pmid, phrase, matched, cui, score from hp join f using (phrase)""",
-        "trie_phrases": f"""with recursive {dictionary}, w as (select pmid, string_split(lower(trim(mesh, ' ')), ' ') w from mesh_heading where mesh is not null),
+        "trie_phrases": rf"""with recursive {dictionary}, w as (select pmid, string_split(lower(trim(mesh, ' ')), ' ') w from mesh_heading where mesh is not null),
 t as (select pmid, list_filter(flatten(list(w order by w)), lambda x: true) ws from w group by pmid),
 e as (select array_to_string(list_filter(regexp_split_to_array(str, '\s+'), lambda x: x <> ''), ' ') run, len(list_filter(regexp_split_to_array(str, '\s+'), lambda x: x <> '')) size, max(cui) id from dict group by 1, 2),
 z as (select distinct size from e where size > 0), pl as (select pmid, ws, unnest(range(1, len(ws) + 1)) i from t),

@@ -98,3 +98,12 @@ def test_request_needs_an_output(spark, tmp_path):
     run(2).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out2")).select("src", "rel", "output")
     assert rows(got) == [(1, 5, "/x")]
+
+
+def test_printed_batches(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a").write_text("one\ntwo\n")
+    shown: list[str] = []
+    requests.printed(spark, str(inbox), str(tmp_path / "check"), shown.append).awaitTermination()
+    assert shown[0] == "Batch 0: 2 lines" and sorted(shown[1:]) == ["one", "two"]
