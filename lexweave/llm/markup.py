@@ -43,8 +43,11 @@ VOID_TAGS = set("br hr img input meta link base wbr".split())
 #: Tags that the next of their kind ends.
 ENDED_BY_NEXT = set("li dt dd p tr td th option".split())
 
-#: What a text must hold for any markup to be looked for.
-ANY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]\w*;|[\\`\[{$]|''|\*|__|(?<!\w)_\S|^[ ]{0,3}(?:#|=|[-+] |\d{1,3}[.)] |>|-{3})", re.M)
+#: What a text must hold, inside a line or at its beginning, for any markup to be looked for. Every branch begins with a sign of
+#: its own, so that plain text is passed over quickly.
+ANY = re.compile(r"<[A-Za-z/!?]|&[#A-Za-z]\w*;|[\\`\[{$*]|''|_\S")
+_LINE = r"[ ]{0,3}(?:#|=|[-+] |\d{1,3}[.)] |>|-{3})"
+FIRST_LINE, NEXT_LINE = re.compile(_LINE), re.compile(r"\n" + _LINE)
 
 _words = lambda names: "|".join(sorted(names.split(), key=lambda w: (-len(w), w)))
 #: What a text must hold for any of SPANS to be looked for.
@@ -165,7 +168,8 @@ def _spans(text: str) -> tuple[str, list[tuple[str, str]]]:
         return f"{HOLE}{len(found) - 1}{HOLE}"
 
     text = text.replace(HOLE, " ")
-    return (SPANS.sub(take, text) if SPAN_START.search(text) else text), found
+    may = any(c in text for c in "`$\\<") or "~~~" in text
+    return (SPANS.sub(take, text) if may and SPAN_START.search(text) else text), found
 
 
 KINDS = ["fence", "comment", "dropped", "pre", "math", "verbatim", "verb", "equation", "display", "inline", "dollars", "dollar", "tick"]
@@ -237,7 +241,7 @@ def _tex(tree: Tree, rest: str) -> None:
 def analysed(text: str) -> tuple[Tree, str, list[tuple[str, str]], bool]:
     """The tree of a text's markup, the text with holes for code and formulas, what stood in them, and whether it is wiki text."""
     tree = Tree()
-    if not ANY.search(text):
+    if not (ANY.search(text) or FIRST_LINE.match(text) or NEXT_LINE.search(text)):
         return tree, text, [], False
     rest, spans = _spans(text)
     kinds = {k for k, _ in spans}
@@ -249,7 +253,7 @@ def analysed(text: str) -> tuple[Tree, str, list[tuple[str, str]], bool]:
     heading, link = WIKI_HEADING.search(rest), look("[[", WIKI_LINK)
     other = link or look("{{", WIKI_TEMPLATE) or look("''", WIKI_QUOTES) or (WIKI_OTHER_START.search(rest) and WIKI_OTHER.search(rest))
     atx, setext = look("#", MD_ATX), look("\n", MD_SETEXT)
-    md_link = MD_LINK.search(rest) if "[" in rest or "<" in rest else None
+    md_link = MD_LINK.search(rest) if "[" in rest or "<http" in rest or "<mailto:" in rest else None
     strong = MD_STRONG.search(rest) if "**" in rest or "__" in rest or "~~" in rest else None
     markdown = bool(kinds & {"fence", "tick"} or atx and not link or md_link or strong or setext)
     wiki = bool(heading or other or "wikipre" in kinds or "texmath" in kinds and not blocks)
