@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,5 +112,24 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(parts_of(df.sparkSession), *cols)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, once for each application, so that they needn't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(root.parent))), p.read_bytes())
+    at = Path(tempfile.mkdtemp(prefix="lexweave-")) / f"lexweave-{hashlib.md5(data.getvalue()).hexdigest()[:12]}.zip"
+    at.write_bytes(data.getvalue())
+    context.addPyFile(str(at))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
