@@ -120,6 +120,6 @@ def holds(spark, sf, name):
     assert len(got) and frame(got).equals(frame(sql_rows(sf, entry.oracle_sql()[name])))
 
 
-@pytest.mark.parametrize("name", ["similar_docs_rank", "similar_docs_fixed_k"])
+@pytest.mark.parametrize("name", ["similar_docs_rank", "similar_docs_fixed_k", "similar_docs_distinct_scores"])
 def test_ranked_queries_make_no_pairs(spark, sf, no_pairs, name):
     holds(spark, sf, name)
