@@ -123,3 +123,7 @@ def holds(spark, sf, name):
 @pytest.mark.parametrize("name", ["similar_docs_rank", "similar_docs_fixed_k", "similar_docs_distinct_scores"])
 def test_ranked_queries_make_no_pairs(spark, sf, no_pairs, name):
     holds(spark, sf, name)
+
+
+def test_zeros_are_counted_without_pairs(spark, sf, no_pairs):
+    holds(spark, sf, "product_with_zeros")
