@@ -127,3 +127,8 @@ def test_ranked_queries_make_no_pairs(spark, sf, no_pairs, name):
 
 def test_zeros_are_counted_without_pairs(spark, sf, no_pairs):
     holds(spark, sf, "product_with_zeros")
+
+
+@pytest.mark.parametrize("name", ["explain_pairs"])
+def test_explained_pairs_come_from_blocks(spark, sf, no_pairs, name):
+    holds(spark, sf, name)
