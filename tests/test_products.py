@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import frame
+from lexweave.operators import headings as H
 from lexweave.operators import products as P
 from lexweave.operators import similarity as S
 from tests.test_whole import sql_rows
@@ -132,3 +133,13 @@ def test_zeros_are_counted_without_pairs(spark, sf, no_pairs):
 @pytest.mark.parametrize("name", ["explain_pairs"])
 def test_explained_pairs_come_from_blocks(spark, sf, no_pairs, name):
     holds(spark, sf, name)
+
+
+@pytest.mark.parametrize("name", ["concept_top"])
+def test_best_headings_make_no_pairs(spark, sf, monkeypatch, name):
+    def pair_rows(*_, **__):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(H, "concept_similarity", pair_rows)
+    monkeypatch.setattr(H, "relations", pair_rows)
+    holds(spark, sf, name)
