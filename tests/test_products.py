@@ -130,7 +130,7 @@ def test_zeros_are_counted_without_pairs(spark, sf, no_pairs):
     holds(spark, sf, "product_with_zeros")
 
 
-@pytest.mark.parametrize("name", ["explain_pairs"])
+@pytest.mark.parametrize("name", ["explain_pairs", "report_terms"])
 def test_explained_pairs_come_from_blocks(spark, sf, no_pairs, name):
     holds(spark, sf, name)
 
