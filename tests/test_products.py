@@ -135,7 +135,7 @@ def test_explained_pairs_come_from_blocks(spark, sf, no_pairs, name):
     holds(spark, sf, name)
 
 
-@pytest.mark.parametrize("name", ["concept_top"])
+@pytest.mark.parametrize("name", ["concept_top", "heading_rank"])
 def test_best_headings_make_no_pairs(spark, sf, monkeypatch, name):
     def pair_rows(*_, **__):
         raise AssertionError("a row for each pair")
