@@ -15,7 +15,7 @@ from lexweave.operators import similarity as S
 from lexweave.operators import words as V
 from lexweave.plans.headings import heads, neighbour_rank, texts
 from lexweave.plans.matrix import documents
-from lexweave.session import stage_path, table
+from lexweave.session import stage_path, staged, table
 from lexweave.sources import embedded
 from lexweave.sources import readers as R
 from lexweave.sources import writers as W
@@ -167,7 +167,12 @@ def report_files(s, d):
     """A text file of the three best neighbours for each source, in a folder of its own."""
     path = stage_path(s, "reports")
     best = S.ranked(neighbour_rank(s, d).select("src_pmid", "rel_pmid", "score"), "src_pmid", "score", 3, "row_number", "rel_pmid")
-    W.per_source(best.select("src_pmid", F.concat_ws("\t", "rank", "rel_pmid").alias("line")), path, "src_pmid", "line")
+    best = best.select("src_pmid", F.concat_ws("\t", "rank", "rel_pmid").alias("line"))
+    if re.match("file:|/", path):
+        best, folder = staged(best, "best"), _local(path)
+        W.per_source_files(best, folder, "src_pmid", "line")
+        return R.per_source_files(best.select("src_pmid").distinct(), folder, "src_pmid")
+    W.per_source(best, path, "src_pmid", "line")
     return s.read.text(path).select(F.col("src_pmid").cast("int").alias("src_pmid"), "value")
 
 
