@@ -14,6 +14,8 @@ from compare import frame
 from lexweave.operators import headings as H
 from lexweave.operators import products as P
 from lexweave.operators import similarity as S
+from lexweave.plans import matrix as M
+from lexweave.session import staged
 from tests.test_whole import sql_rows
 
 KINDS = {"tied": [1, 2, 3], "signed": [-2, 0, 1, 2], "huge": [3 * 10**8 + 1, 10**8, 7]}
@@ -143,3 +145,30 @@ def test_best_headings_make_no_pairs(spark, sf, monkeypatch, name):
     monkeypatch.setattr(H, "concept_similarity", pair_rows)
     monkeypatch.setattr(H, "relations", pair_rows)
     holds(spark, sf, name)
+
+
+def test_true_cells_are_all_found():
+    rnd = np.random.default_rng(2)
+    for shape in [(0, 5), (3, 5), (4, 6), (8, 16)]:
+        for share in (0, 0.1, 1):
+            mask = rnd.random(shape) < share
+            assert P._true_at(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+@pytest.mark.parametrize("name", ["similar_docs_fixed_k"])
+def test_the_matrix_is_laid_by_document_once(spark, sf, monkeypatch, name):
+    plans = {}
+
+    def seen(df, stage):
+        plans[stage] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, stage)
+
+    monkeypatch.setattr(P, "staged", seen)
+    monkeypatch.setattr(M, "staged", None)  # the matrix isn't written by itself
+    holds(spark, sf, name)
+    assert plans["rows"].count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(rel" not in plans["rows"]
+
+
+def test_terms_too_many_to_send_leave_documents_whole(spark, sf, monkeypatch):
+    monkeypatch.setattr(P, "is_small", lambda *_: False)
+    holds(spark, sf, "similar_docs_fixed_k")
