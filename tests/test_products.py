@@ -155,7 +155,25 @@ def test_true_cells_are_all_found():
             assert P._true_at(mask).tolist() == np.flatnonzero(mask).tolist()
 
 
-@pytest.mark.parametrize("name", ["similar_docs_fixed_k"])
+def test_the_kth_value_counts_ties_once():
+    best = P.Best(own_of([(0, 0, 1)]), 1, "distinct", True, False)
+    rows = np.array([[5.0] * 3 + [4.0] * 2 + [3.0] * 20, [7.0] * 25, [9.0, 8.0, 7.0] + [-np.inf] * 22])
+    assert best.kth_value(rows).tolist() == [4.0, -np.inf, 8.0]
+
+
+def test_a_first_block_gives_floors_of_different_values():
+    """So that not every pair of the first blocks is held."""
+    b = [(0, p, 1 + p % 50) for p in range(500)]
+    own = own_of([(0, p, 1) for p in range(0, 500, 100)])
+    best = P.Best(own, 3, "distinct", True, False)
+    t, ids, w = (np.array(c) for c in zip(*b, strict=True))
+    best.add(P.Block(own, t, np.arange(500), w, ids, np.zeros(500)))
+    assert best.n <= 5 * 40
+    got = pa.Table.from_batches(best.result()).to_pydict()
+    assert set(zip(got["src"], got["rel"], got["units"], strict=True)) == first(brute([(0, p, 1) for p in own.ids.tolist()], b), 3, "distinct", True)
+
+
+@pytest.mark.parametrize("name", ["similar_docs_fixed_k", "similar_docs_distinct_scores"])
 def test_the_matrix_is_laid_by_document_once(spark, sf, monkeypatch, name):
     plans = {}
 
