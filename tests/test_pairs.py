@@ -29,7 +29,7 @@ def no_joined_pairs(monkeypatch):
         monkeypatch.setattr(H, name, pair_rows)
 
 
-@pytest.mark.parametrize("name", ["heading_jaccard"])
+@pytest.mark.parametrize("name", ["heading_jaccard", "concept_similarity"])
 def test_pairs_are_not_joined(spark, sf, no_joined_pairs, name):
     holds(spark, sf, name)
 
@@ -76,3 +76,14 @@ def test_ratios_are_rounded_halves_up():
     exact = [float((Decimal(int(c)) / Decimal(int(n))).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for c, n in zip(common, of, strict=True)]
     assert H._rounded(common, common + of).tolist() == exact
     assert H._rounded(np.array([0]), np.array([0])).tolist() == [0.0]
+
+
+@pytest.mark.parametrize("cnt", ["1 + id % 3", "if(id % 7 = 0, null, 1 + id % 3)"])
+def test_concepts_of_no_weight_and_of_null_counts(spark, tmp_path, cnt):
+    """A concept of all records weighs 0 and its pairs stay; where all shared counts are null, the score is null."""
+    spark.sql("select cast(id as int) pmid, 't' title, repeat('word ', int(id) % 4 + 1) abs, timestamp'2020-01-01' loaded_at from range(30)").write.parquet(str(tmp_path / "abstracts.parquet"))
+    rows = f"select concat('h', id % 11) mesh, cast(id % 30 as int) pmid, cast({cnt} as int) cnt, false major from range(97)"
+    spark.sql(f"{rows} union all select 'all', cast(id as int), 1, false from range({0 if 'null' in cnt else 30})").write.parquet(str(tmp_path / "posting_list.parquet"))
+    holds(spark, str(tmp_path), "concept_similarity")
+    got = entry.queries()["concept_similarity"](spark, str(tmp_path))
+    assert got.filter("score is null" if "null" in cnt else "score = 0").count()
