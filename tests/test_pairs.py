@@ -29,7 +29,7 @@ def no_joined_pairs(monkeypatch):
         monkeypatch.setattr(H, name, pair_rows)
 
 
-@pytest.mark.parametrize("name", ["heading_jaccard", "concept_similarity", "heading_pivot"])
+@pytest.mark.parametrize("name", ["heading_jaccard", "concept_similarity", "heading_pivot", "summed_jaccard"])
 def test_pairs_are_not_joined(spark, sf, no_joined_pairs, name):
     holds(spark, sf, name)
 
@@ -44,7 +44,7 @@ def crowded(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["heading_jaccard", "heading_pivot"])
+@pytest.mark.parametrize("name", ["heading_jaccard", "heading_pivot", "summed_jaccard"])
 @pytest.mark.parametrize("most", [15, 2])
 def test_digits_of_many_headings(spark, crowded, monkeypatch, name, most):
     """With 2 bits they don't hold the counts, and the pairs are joined."""
